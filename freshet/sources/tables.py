@@ -33,20 +33,24 @@ def write_non_empty(df: DataFrame, path: str, **kwargs) -> bool:
     return True
 
 
-def publish_snapshot(log: DataFrame, table: str) -> None:
-    """Replace the serving table: load time added, one partition per day, time-ordered."""
+def publish_snapshot(log: DataFrame, table: str, path: str | None = None) -> None:
+    """Replace the serving table: load time added, one partition per day, time-ordered.
+
+    ``path`` places the files; otherwise they go to the session's warehouse.
+    """
     rows = log.withColumn("actualizado_en", F.current_timestamp()).withColumn(
         "dia", F.col("timestamp").cast("date")
     )
     ordered = rows.repartitionByRange("dia", "timestamp").sortWithinPartitions("dia", "timestamp")
-    ordered.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
-        "dia"
-    ).saveAsTable(table)
+    writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    if path:
+        writer = writer.option("path", path)
+    writer.partitionBy("dia").saveAsTable(table)
 
 
-def seed_snapshot(spark: SparkSession, log: DataFrame, table: str) -> bool:
+def seed_snapshot(spark: SparkSession, log: DataFrame, table: str, path: str | None = None) -> bool:
     """Publish only when the table does not exist yet."""
     if spark.catalog.tableExists(table):
         return False
-    publish_snapshot(log, table)
+    publish_snapshot(log, table, path)
     return True
