@@ -44,9 +44,7 @@ def typed_readings(spark, sf_dir):
     """Landing files as text, read back and typed."""
     path = shared_folder(spark, "landing")
     tables.write_non_empty(_damaged_text(spark, sf_dir), path, partition_by=["basin"], fmt="csv")
-    typed = readings.typed(readings.require_any(readings.scan_text(spark, path)).withColumn(
-        "basin", F.regexp_extract(F.input_file_name(), "basin=([^/]+)", 1)
-    ))
+    typed = readings.typed(readings.require_any(readings.scan_text(spark, path)))
     return typed.select("basin", "station_id", "sensor_id", "ts", "mm")
 
 
@@ -261,7 +259,7 @@ def tiered_station_match(spark, sf_dir):
 
 @query(
     "name_fragments", "H7 H6",
-    """SELECT p_partkey, array_to_string(list_filter([trim(x) FOR x IN string_split(upper(p_name), ' ')], x -> len(x) >= 5), '|') AS fragments
+    """SELECT p_partkey, array_to_string([trim(x) FOR x IN string_split(upper(p_name), ' ') IF len(trim(x)) >= 5], '|') AS fragments
        FROM part""",
 )
 def name_fragments_of_parts(spark, sf_dir):

@@ -1 +1,144 @@
-"""Queries."""
+"""Streaming and live-update queries: results must equal the batch definitions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from freshet import schema as S
+from freshet.operators import features as feats
+from freshet.operators.series import quality_split
+from freshet.plans.update import live_update
+from freshet.queries import query
+from freshet.queries.base import r6, score, series
+from freshet.queries.dataset import FEATURE_SQL
+from freshet.queries.reporting import LOG_SQL
+from freshet.queries.sql import r, with_ctes
+from freshet.session import shared_folder
+from freshet.sources import gauges
+from freshet.streaming import hours, ingest, parity
+
+# An hour is closed once the watermark (latest reading - 48 h) has passed its end.
+CLOSED = "hour_idx + 1 <= (SELECT epoch_us(max(ts)) - 48 * 3600000000 FROM readings) / 3600000000"
+
+
+def _stream(spark, sf_dir):
+    """The events table as a file stream of principal-sensor readings."""
+    # A pattern, because the table may be one file or a folder of files.
+    path = f"{sf_dir}/event[s].parquet"
+    raw = spark.readStream.schema(gauges.events(spark, sf_dir).schema).parquet(path)
+    return gauges.from_events(raw).filter(F.col("sensor_id") == gauges.PRINCIPAL_SENSOR)
+
+
+def _run(spark, sf_dir) -> str:
+    root = shared_folder(spark, "stream")
+    hours.start(_stream(spark, sf_dir).drop("tips"), root, score).awaitTermination()
+    return root
+
+
+@query(
+    "streamed_hour_features", "I1 I4",
+    with_ctes(f"SELECT basin, timestamp, {FEATURE_SQL} FROM features WHERE {CLOSED}", "features", "readings"),
+)
+def streamed_hour_features(spark, sf_dir):
+    rows = spark.read.parquet(f"{_run(spark, sf_dir)}/features")
+    return r6(rows.select("basin", "timestamp", *S.FEATURES))
+
+
+@query(
+    "streamed_prediction_log", "I2 I1",
+    with_ctes(f"SELECT {LOG_SQL} FROM log WHERE {CLOSED}", "log", "readings"),
+)
+def streamed_prediction_log(spark, sf_dir):
+    rows = spark.read.parquet(f"{_run(spark, sf_dir)}/log")
+    return r6(rows.select("basin", *S.LOG_COLUMNS))
+
+
+@query(
+    "stream_batch_parity", "C4 I5 F6",
+    "SELECT CAST(0 AS BIGINT) AS mismatches",
+)
+def stream_batch_parity(spark, sf_dir):
+    """Every streamed feature row against the batch ones; nothing may differ."""
+    streamed = spark.read.parquet(f"{_run(spark, sf_dir)}/features").drop("day", "batch")
+    batch = feats.feature_rows(quality_split(series(spark, sf_dir))[0])
+    keys = ["basin", "hour_idx"]
+    parity.require_parity(streamed, batch, keys)
+    return parity.mismatches(streamed, batch, keys).agg(F.count(F.lit(1)).alias("mismatches"))
+
+
+@query(
+    "parity_report_of_shifted_feature", "C4 F6",
+    with_ctes(
+        """SELECT feature, count(*) AS n FROM (
+             SELECT 'lag_1h' AS feature FROM features WHERE abs(lag_1h - lag_3h) > 1e-6 OR (lag_1h IS NULL) <> (lag_3h IS NULL)
+             UNION ALL SELECT 'missing' FROM features WHERE hora_dia = 5) WHERE feature <> 'lag_1h' OR TRUE GROUP BY feature""",
+        "features"),
+)
+def parity_report_of_shifted_feature(spark, sf_dir):
+    """A deliberately wrong copy (one lag shifted, one hour of day lost) against the right one."""
+    right = feats.feature_rows(quality_split(series(spark, sf_dir))[0])
+    wrong = right.withColumn("lag_1h", F.col("lag_3h"))
+    lost = right.filter("hora_dia <> 5")
+    keys = ["basin", "hour_idx"]
+    found = parity.mismatches(right, wrong, keys).unionByName(parity.mismatches(right, lost, keys))
+    return found.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("seeded_feature_sample", "F7", with_ctes("SELECT least(500, count(*)) AS n, CAST(least(500, count(*)) AS BIGINT) AS distinct_hours FROM complete", "complete"))
+def seeded_feature_sample(spark, sf_dir):
+    rows = feats.complete(feats.feature_rows(quality_split(series(spark, sf_dir))[0]))
+    picked = parity.seeded_sample(rows)
+    return picked.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("basin", "hour_idx").alias("distinct_hours"))
+
+
+def _readings(spark, sf_dir):
+    return gauges.from_events(gauges.events(spark, sf_dir)).drop("tips").withColumn("arrival", F.lit(0).cast("long"))
+
+
+@query(
+    "incremental_ingest", "I3 G1",
+    with_ctes(
+        f"""SELECT basin, station_id, sensor_id, count(*) AS n, {r('sum(tips) * 1.5::DOUBLE')} AS mm FROM (
+              SELECT DISTINCT basin, station_id, sensor_id, ts, max(tips) OVER (PARTITION BY basin, station_id, sensor_id, ts) AS tips
+              FROM all_readings) GROUP BY ALL""", "all_readings"),
+)
+def incremental_ingest(spark, sf_dir):
+    """Two landings with an overlap of three days, two runs of one checkpointed stream."""
+    root = shared_folder(spark, "ingest")
+    rows = _readings(spark, sf_dir).drop("arrival")
+    landings = ["ts < timestamp_ntz'2024-01-20 00:00:00'", "ts >= timestamp_ntz'2024-01-17 00:00:00'"]
+    for part in landings:
+        rows.filter(part).write.mode("append").parquet(f"{root}/landing")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/landing")
+        ingest.start_ingest(stream, f"{root}/readings", f"{root}/checkpoint").awaitTermination()
+    stored = spark.read.parquet(f"{root}/readings")
+    return r6(stored.groupBy("basin", "station_id", "sensor_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("mm").alias("mm")
+    ))
+
+
+def _updated(spark, sf_dir):
+    """History up to 25 January, then a batch from the 22nd on."""
+    root = shared_folder(spark, "live")
+    rows = _readings(spark, sf_dir).filter(F.col("sensor_id") == gauges.PRINCIPAL_SENSOR)
+    live_update(spark, rows.filter("ts < timestamp_ntz'2024-01-25 00:00:00'"), root, score, "2024-01-25 00:00:00")
+    batch = rows.filter("ts >= timestamp_ntz'2024-01-22 00:00:00'")
+    return root, live_update(spark, batch, root, score, "2024-02-01 00:00:00")
+
+
+@query("live_update_log", "I6 I4 G4 B10", with_ctes(f"SELECT {LOG_SQL} FROM log", "log"))
+def live_update_log(spark, sf_dir):
+    root, _ = _updated(spark, sf_dir)
+    return r6(spark.read.parquet(f"{root}/log").select("basin", *S.LOG_COLUMNS))
+
+
+@query(
+    "live_update_summary", "I6 D38 A11",
+    with_ctes(
+        """SELECT basin, station_id, count(*) FILTER (ts >= TIMESTAMP '2024-01-25') AS new_rows,
+             strftime(max(ts), '%Y-%m-%d %H:%M') AS last_reading
+           FROM readings r WHERE CAST(ts AS DATE) >= CAST((SELECT max(ts) FROM readings o WHERE o.basin = r.basin AND o.station_id = r.station_id
+             AND o.ts < TIMESTAMP '2024-01-25') - INTERVAL 48 HOUR AS DATE) GROUP BY ALL""", "readings"),
+)
+def live_update_summary(spark, sf_dir):
+    return _updated(spark, sf_dir)[1]

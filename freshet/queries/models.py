@@ -1 +1,58 @@
-"""Queries."""
+"""Forest queries: results depend on the learner, so there is no SQL equivalent."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from freshet.functions import rules
+from freshet.plans import evaluation as ev
+from freshet.plans import training
+from freshet.queries import query
+from freshet.queries.base import KEYS, dataset, r6, series
+from freshet.session import shared_folder
+from freshet.sources.tables import write_table
+
+
+def _stored_dataset(spark, sf_dir):
+    """Dataset with label, weights and baseline, written once: training reads it many times."""
+    path = shared_folder(spark, "training")
+    rows = ev.with_persistence(dataset(spark, sf_dir), series(spark, sf_dir), KEYS)
+    rows = ev.with_sample_weights(ev.with_label(rows, "target_6h", KEYS), "target_6h", KEYS)
+    p75 = ev.with_label(rows, "target_6h", KEYS, 0.75).withColumnRenamed("train_quantile", "p75_train")
+    labels = rows.select(*KEYS, "hour_idx", F.col("label").alias("_label"))
+    rows = p75.drop("label").join(labels, [*KEYS, "hour_idx"]).withColumnRenamed("_label", "label")
+    write_table(ev.with_class_weights(rows, [*KEYS, "split"]), path)
+    return spark.read.parquet(path)
+
+
+@query("forest_regressors_report", "J1 J2 J3 J4 J7 D17 D18 D19 D20")
+def forest_regressors_report(spark, sf_dir):
+    rows = _stored_dataset(spark, sf_dir)
+    train, test = ev.split_sides(rows)
+    test = training.predict(training.fit_regressor(train, "target_6h"), test, "absolute")
+    weighted = training.fit_regressor(train.filter("sample_weight IS NOT NULL"), "target_6h", "sample_weight")
+    test = training.predict(weighted, test, "weighted")
+    test = training.predict_delta(training.fit_regressor(train, "delta"), test, "rebuilt")
+    reports = [
+        ev.regression_report(test, "target_6h", "persistence", m, KEYS).withColumn("model", F.lit(m))
+        for m in ("absolute", "weighted", "rebuilt")
+    ]
+    return r6(reports[0].unionByName(reports[1]).unionByName(reports[2]))
+
+
+@query("forest_classifier_sweep", "J5 J6 J7 A18 D24 D26 D40")
+def forest_classifier_sweep(spark, sf_dir):
+    rows = _stored_dataset(spark, sf_dir)
+    train, test = ev.split_sides(rows)
+    path = shared_folder(spark, "model")
+    training.save(training.fit_classifier(train), path)
+    scored = rules.with_rules(training.score(training.load(path), test))
+    return r6(ev.threshold_table(scored, ev.SWEEP + [0.7], ["proba_modelo", "proba_alerta"], KEYS))
+
+
+@query("forest_importance", "F5 D37 J5")
+def forest_importance(spark, sf_dir):
+    train, _ = ev.split_sides(_stored_dataset(spark, sf_dir))
+    ranked = training.importances(spark, training.fit_classifier(train))
+    total = ev.importance_by_family(ranked)
+    return r6(ranked.join(total, F.lit(True)))
