@@ -18,26 +18,36 @@ SEED = 42
 # Trees are grown level by level on binned features; the depth bounds a tree's size.
 MAX_DEPTH = 10
 FOREST = {"numTrees": TREES, "seed": SEED, "maxDepth": MAX_DEPTH}
+# Node ids are kept with the rows instead of walking every tree for every row and level,
+# and more memory for node statistics means fewer passes over the data.
+SCALING = {"cacheNodeIds": True, "maxMemoryInMB": 1024}
 
 
 def _assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=list(S.FEATURES), outputCol="features")
 
 
+def _spread(train: DataFrame) -> DataFrame:
+    """At least one partition per core; a table with enough files is left as it is."""
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    return train.repartition(cores) if train.rdd.getNumPartitions() < cores else train
+
+
 def fit_regressor(train: DataFrame, target: str, weight: str | None = None, **params) -> PipelineModel:
     forest = RandomForestRegressor(
-        featuresCol="features", labelCol=target, predictionCol="prediction", **(FOREST | params)
+        featuresCol="features", labelCol=target, predictionCol="prediction",
+        featureSubsetStrategy="all", **(FOREST | SCALING | params),
     )
     if weight:
         forest = forest.setWeightCol(weight)
-    return Pipeline(stages=[_assembler(), forest]).fit(train)
+    return Pipeline(stages=[_assembler(), forest]).fit(_spread(train))
 
 
 def fit_classifier(train: DataFrame, label: str = "label", weight: str = "class_weight", **params) -> PipelineModel:
     forest = RandomForestClassifier(
-        featuresCol="features", labelCol=label, weightCol=weight, **(FOREST | params)
+        featuresCol="features", labelCol=label, weightCol=weight, **(FOREST | SCALING | params)
     )
-    return Pipeline(stages=[_assembler(), forest]).fit(train)
+    return Pipeline(stages=[_assembler(), forest]).fit(_spread(train))
 
 
 def predict(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ from freshet.operators.series import quality_split, runoff_series
 from freshet.plans.reporting import prediction_log
 from freshet.session import shared_folder
 from freshet.sources.landing import high_water_marks
-from freshet.sources.tables import read_or_none, write_table
+from freshet.sources.tables import read, read_or_none, write_table
 from freshet.streaming.ingest import merge_readings
 from freshet.streaming.parity import require_parity
 
@@ -43,10 +43,10 @@ def new_readings(
     spark: SparkSession, batch: DataFrame, root: str, now: str, late_hours: int = 0
 ) -> DataFrame:
     """Batch rows between each station's high-water mark (less ``late_hours``) and now."""
-    stored = read_or_none(spark, f"{root}/readings")
+    stored = read_or_none(spark, f"{root}/readings", S.READINGS_TABLE)
     if stored is None:
         return batch.filter(F.col("ts") <= F.lit(now).cast("timestamp_ntz"))
-    series = read_or_none(spark, f"{root}/series")
+    series = read_or_none(spark, f"{root}/series", S.SERIES_TABLE)
     none = spark.createDataFrame([], "basin string, hour_idx bigint")
     ends = none if series is None else series.groupBy("basin").agg(F.max("hour_idx").alias("hour_idx"))
     stations = batch.select("basin", "station_id").distinct()
@@ -73,7 +73,7 @@ def live_update(
     stage = shared_folder(spark, "update")
     due = new_readings(spark, batch, root, now, late_hours)
     write_table(merge_readings(due, f"{root}/readings"), f"{stage}/merged", ["day"])
-    merged = spark.read.parquet(f"{stage}/merged")
+    merged = read(spark, f"{stage}/merged", f"{S.READINGS_TABLE}, is_new boolean, touched boolean")
     summary = merged.groupBy("basin", "station_id").agg(
         F.count_if("is_new").alias("new_rows"),
         F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm").alias("last_reading"),
@@ -84,26 +84,26 @@ def live_update(
     write_table(merged.drop("is_new", "touched"), f"{root}/readings", ["day"])
 
     since = first_ts - SLICE_HOURS
-    readings = spark.read.parquet(f"{root}/readings").filter(
+    readings = read(spark, f"{root}/readings", S.READINGS_TABLE).filter(
         (F.col("day") >= day_date(day_index(F.lit(since)))) & (F.col("ts") >= hour_start(F.lit(since)))
     )
     fresh = runoff_series(readings.select("basin", "station_id", "sensor_id", "ts", "mm"), cn)
-    write_table(fresh, f"{stage}/slice")
-    part = spark.read.parquet(f"{stage}/slice")
+    write_table(_by_day(fresh), f"{stage}/slice", ["day"])
+    part = read(spark, f"{stage}/slice", S.SERIES_TABLE).drop("day")
 
-    stored = read_or_none(spark, f"{root}/series")
+    stored = read_or_none(spark, f"{root}/series", S.SERIES_TABLE)
     settled = since
     if stored is None:
         joined = part
     else:
-        settled = stored.agg(F.max("hour_idx")).first()[0] + 1
-        joined = splice(_from_hour(stored, since), part.select(*_from_hour(stored, since).columns), KEYS)
+        settled = (stored.agg(F.max("hour_idx")).first()[0] or since) + 1
+        joined = splice(_from_hour(stored, since), part, KEYS)
     write_table(_by_day(joined), f"{stage}/series", ["day"])
-    series = spark.read.parquet(f"{stage}/series").drop("day")
+    series = read(spark, f"{stage}/series", S.SERIES_TABLE).drop("day")
 
     rows = feature_rows(quality_split(series)[0])
     write_table(_by_day(rows), f"{stage}/features", ["day"])
-    staged = spark.read.parquet(f"{stage}/features").drop("day")
+    staged = read(spark, f"{stage}/features", S.FEATURES_TABLE).drop("day")
     warm = since + S.HISTORY_HOURS if stored is not None else since
     # New hours see nothing older than the splice, so both computations must agree there.
     again = feature_rows(quality_split(part)[0], chunk_len=CHUNK_HOURS)
@@ -112,15 +112,15 @@ def live_update(
     log = prediction_log(score(complete(staged.filter(F.col("hour_idx") >= warm))), [*KEYS, "hour_idx"])
     write_table(_by_day(log), f"{stage}/log", ["day"])
 
-    _publish(spark, f"{stage}/series", f"{root}/series", since)
-    _publish(spark, f"{stage}/log", f"{root}/log", warm)
+    _publish(spark, f"{stage}/series", f"{root}/series", S.SERIES_TABLE, since)
+    _publish(spark, f"{stage}/log", f"{root}/log", S.LOG_TABLE, warm)
     return summary
 
 
-def _publish(spark: SparkSession, staged: str, path: str, since: int) -> None:
+def _publish(spark: SparkSession, staged: str, path: str, schema: str, since: int) -> None:
     """Replace the stored hours from ``since`` on; the first day keeps its earlier hours."""
-    new = spark.read.parquet(staged)
-    stored = read_or_none(spark, path)
+    new = read(spark, staged, schema)
+    stored = read_or_none(spark, path, schema)
     if stored is not None:
         first_day = day_date(day_index(F.lit(since)))
         kept = stored.filter((F.col("day") == first_day) & (F.col("hour_idx") < since))

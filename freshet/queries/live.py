@@ -15,6 +15,7 @@ from freshet.queries.reporting import LOG_SQL
 from freshet.queries.sql import r, with_ctes
 from freshet.session import shared_folder
 from freshet.sources import gauges
+from freshet.sources.tables import read
 from freshet.streaming import hours, ingest, parity
 
 # An hour is closed once the watermark (latest reading - 48 h) has passed its end.
@@ -40,7 +41,7 @@ def _run(spark, sf_dir) -> str:
     with_ctes(f"SELECT basin, timestamp, {FEATURE_SQL} FROM features WHERE {CLOSED}", "features", "readings"),
 )
 def streamed_hour_features(spark, sf_dir):
-    rows = spark.read.parquet(f"{_run(spark, sf_dir)}/features")
+    rows = read(spark, f"{_run(spark, sf_dir)}/features", hours.FEATURES)
     return r6(rows.select("basin", "timestamp", *S.FEATURES))
 
 
@@ -49,7 +50,7 @@ def streamed_hour_features(spark, sf_dir):
     with_ctes(f"SELECT {LOG_SQL} FROM log WHERE {CLOSED}", "log", "readings"),
 )
 def streamed_prediction_log(spark, sf_dir):
-    rows = spark.read.parquet(f"{_run(spark, sf_dir)}/log")
+    rows = read(spark, f"{_run(spark, sf_dir)}/log", hours.LOG)
     return r6(rows.select("basin", *S.LOG_COLUMNS))
 
 
@@ -59,7 +60,7 @@ def streamed_prediction_log(spark, sf_dir):
 )
 def stream_batch_parity(spark, sf_dir):
     """Every streamed feature row against the batch ones; nothing may differ."""
-    streamed = spark.read.parquet(f"{_run(spark, sf_dir)}/features").drop("day", "batch")
+    streamed = read(spark, f"{_run(spark, sf_dir)}/features", hours.FEATURES).drop("day", "batch")
     batch = feats.feature_rows(quality_split(series(spark, sf_dir))[0])
     keys = ["basin", "hour_idx"]
     parity.require_parity(streamed, batch, keys)
@@ -115,7 +116,7 @@ def incremental_ingest(spark, sf_dir):
         rows.filter(part).write.mode("append").parquet(f"{root}/landing")
         stream = spark.readStream.schema(rows.schema).parquet(f"{root}/landing")
         ingest.start_ingest(stream, f"{root}/readings", f"{root}/checkpoint").awaitTermination()
-    stored = spark.read.parquet(f"{root}/readings")
+    stored = read(spark, f"{root}/readings", S.READINGS_TABLE)
     return r6(stored.groupBy("basin", "station_id", "sensor_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("mm").alias("mm")
     ))
@@ -133,7 +134,7 @@ def _updated(spark, sf_dir):
 @query("live_update_log", "I6 I4 G4 B10", with_ctes(f"SELECT {LOG_SQL} FROM log", "log"))
 def live_update_log(spark, sf_dir):
     root, _ = _updated(spark, sf_dir)
-    return r6(spark.read.parquet(f"{root}/log").select("basin", *S.LOG_COLUMNS))
+    return r6(read(spark, f"{root}/log", S.LOG_TABLE).select("basin", *S.LOG_COLUMNS))
 
 
 @query(

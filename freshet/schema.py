@@ -32,6 +32,22 @@ LOG_COLUMNS = [
     "proba_modelo", "proba_alerta", "estado",
 ]
 
+# Stored tables. Readers declare them, so an empty table reads as zero rows.
+_HOUR = "basin string, hour_idx bigint, timestamp timestamp_ntz"
+READINGS_TABLE = (
+    "basin string, station_id string, sensor_id string, ts timestamp_ntz, arrival bigint, mm double, day date"
+)
+SERIES_TABLE = (
+    f"{_HOUR}, P_basin double, n_estaciones_disponibles int, P_acc_24h double, Q_scs_proxy double, day date"
+)
+FEATURES_TABLE = (
+    f"{_HOUR}, " + ", ".join(f"{c} {'int' if c in ('hora_dia', 'mes') else 'double'}" for c in FEATURES) + ", day date"
+)
+LOG_TABLE = (
+    f"{_HOUR}, P_basin double, Q_actual double, Q_lag_1h double, roll_sum_24h double, hora_dia int, mes int, "
+    "proba_modelo double, proba_alerta double, estado string, day date"
+)
+
 # Names under which a source may publish the same column.
 SENSOR_NAMES = ["codigosensor", "sensor", "id_sensor", "idsensor"]
 VALUE_NAMES = ["valorobservado", "precipitacion", "precip", "lluvia"]

@@ -19,11 +19,13 @@ from freshet.functions.timegrid import day_date, day_index, hour_index
 from freshet.operators.features import complete, feature_rows
 from freshet.operators.series import basin_hours, quality_split, with_runoff
 from freshet.plans.reporting import prediction_log
-from freshet.sources.tables import write_table
+from freshet.sources.tables import read, write_table
 
 LATENESS = "48 hours"
 KEYS = ["basin"]
 READING_KEY = ["basin", "station_id", "sensor_id", "ts"]
+FEATURES = f"{S.FEATURES_TABLE}, batch int"
+LOG = f"{S.LOG_TABLE}, batch int"
 HOURS = (
     "basin string, hour_idx bigint, P_basin double, n_estaciones_disponibles int, day date, batch int"
 )
@@ -63,7 +65,7 @@ def _store(df: DataFrame, path: str, batch_id: int) -> None:
 
 def recent(spark: SparkSession, path: str, since: int) -> DataFrame:
     """Stored hours from ``since`` on; the day partition prunes older files."""
-    hours = spark.read.schema(HOURS).parquet(path)
+    hours = read(spark, path, HOURS)
     return hours.filter((F.col("day") >= day_date(day_index(F.lit(since)))) & (F.col("hour_idx") >= since))
 
 
@@ -81,7 +83,7 @@ def process_batch(
     """
     spark = closed.sparkSession
     _store(basin_hours(closed), f"{root}/hours", batch_id)
-    stored = spark.read.schema(HOURS).parquet(f"{root}/hours").filter(F.col("batch") == batch_id)
+    stored = read(spark, f"{root}/hours", HOURS).filter(F.col("batch") == batch_id)
     first, last = stored.agg(F.min("hour_idx"), F.max("hour_idx")).first()
     if first is None:
         return
@@ -89,9 +91,8 @@ def process_batch(
     series = with_runoff(visible.select(*KEYS, "hour_idx", "P_basin", "n_estaciones_disponibles"), cn)
     rows = feature_rows(quality_split(series)[0]).filter(F.col("hour_idx") >= first)
     _store(rows, f"{root}/features", batch_id)
-    ready = complete(
-        spark.read.parquet(f"{root}/features").filter(F.col("batch") == batch_id).drop("day", "batch")
-    )
+    features = read(spark, f"{root}/features", FEATURES)
+    ready = complete(features.filter(F.col("batch") == batch_id).drop("day", "batch"))
     log = prediction_log(score(ready), [*KEYS, "hour_idx"])
     _store(log, f"{root}/log", batch_id)
 

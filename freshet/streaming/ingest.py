@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from freshet import schema as S
 from freshet.sources.tables import read_or_none, write_table
 
 KEY = ["basin", "station_id", "sensor_id", "ts"]
@@ -19,13 +20,16 @@ def merge_readings(batch: DataFrame, path: str) -> DataFrame:
     largest ``arrival`` wins.
     """
     spark = batch.sparkSession
-    new = batch.withColumn("day", F.col("ts").cast("date")).withColumn("_origin", F.lit(1))
-    stored = read_or_none(spark, path)
+    new = batch.select(
+        *KEY, F.col("arrival").cast("long").alias("arrival"), "mm",
+        F.col("ts").cast("date").alias("day"), F.lit(1).alias("_origin"),
+    )
+    stored = read_or_none(spark, path, S.READINGS_TABLE)
     parts = new
     if stored is not None:
         days = new.select("day").distinct()
         old = stored.join(days, "day", "left_semi").withColumn("_origin", F.lit(0))
-        parts = old.unionByName(new, allowMissingColumns=True)
+        parts = old.unionByName(new)
     payload = F.struct("_origin", "arrival", "mm", "day")
     merged = parts.groupBy(*KEY).agg(F.max(payload).alias("_last"), F.min("_origin").alias("_first"))
     return merged.select(
