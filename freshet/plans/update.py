@@ -72,7 +72,7 @@ def live_update(
     """
     stage = shared_folder(spark, "update")
     due = new_readings(spark, batch, root, now, late_hours)
-    write_table(merge_readings(due, f"{root}/readings"), f"{stage}/merged", ["day"])
+    write_table(merge_readings(due, f"{root}/readings"), f"{stage}/merged")
     merged = read(spark, f"{stage}/merged", f"{S.READINGS_TABLE}, is_new boolean, touched boolean")
     summary = merged.groupBy("basin", "station_id").agg(
         F.count_if("is_new").alias("new_rows"),
@@ -88,7 +88,7 @@ def live_update(
         (F.col("day") >= day_date(day_index(F.lit(since)))) & (F.col("ts") >= hour_start(F.lit(since)))
     )
     fresh = runoff_series(readings.select("basin", "station_id", "sensor_id", "ts", "mm"), cn)
-    write_table(_by_day(fresh), f"{stage}/slice", ["day"])
+    write_table(_by_day(fresh), f"{stage}/slice")
     part = read(spark, f"{stage}/slice", S.SERIES_TABLE).drop("day")
 
     stored = read_or_none(spark, f"{root}/series", S.SERIES_TABLE)
@@ -98,11 +98,11 @@ def live_update(
     else:
         settled = (stored.agg(F.max("hour_idx")).first()[0] or since) + 1
         joined = splice(_from_hour(stored, since), part, KEYS)
-    write_table(_by_day(joined), f"{stage}/series", ["day"])
+    write_table(_by_day(joined), f"{stage}/series")
     series = read(spark, f"{stage}/series", S.SERIES_TABLE).drop("day")
 
     rows = feature_rows(quality_split(series)[0])
-    write_table(_by_day(rows), f"{stage}/features", ["day"])
+    write_table(_by_day(rows), f"{stage}/features")
     staged = read(spark, f"{stage}/features", S.FEATURES_TABLE).drop("day")
     warm = since + S.HISTORY_HOURS if stored is not None else since
     # New hours see nothing older than the splice, so both computations must agree there.
@@ -110,7 +110,7 @@ def live_update(
     unseen = F.col("hour_idx") >= settled
     require_parity(staged.filter(unseen), again.filter(unseen), [*KEYS, "hour_idx"])
     log = prediction_log(score(complete(staged.filter(F.col("hour_idx") >= warm))), [*KEYS, "hour_idx"])
-    write_table(_by_day(log), f"{stage}/log", ["day"])
+    write_table(_by_day(log), f"{stage}/log")
 
     _publish(spark, f"{stage}/series", f"{root}/series", S.SERIES_TABLE, since)
     _publish(spark, f"{stage}/log", f"{root}/log", S.LOG_TABLE, warm)

@@ -26,8 +26,8 @@ STATIONS_SQL = """SELECT lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS codigo, s_
 
 def _km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return (
-        f"(12742.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians({lat2} - {lat1}) / 2), 2)"
-        f" + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))))"
+        f"(12742.0::DOUBLE * asin(sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2)"
+        f" + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))))"
     )
 
 

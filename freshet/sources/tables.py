@@ -20,7 +20,13 @@ def read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | Non
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
-    """Replace a table, or only the partitions present in ``df`` when it is partitioned."""
+    """Replace a table, or only the partitions present in ``df`` when it is partitioned.
+
+    Rows are rebalanced on the partition columns first: a small partition becomes one
+    file instead of one per task, and a large one is split at run time.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)

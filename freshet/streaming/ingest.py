@@ -39,9 +39,7 @@ def merge_readings(batch: DataFrame, path: str) -> DataFrame:
 
 
 def upsert(batch: DataFrame, path: str) -> None:
-    merged = merge_readings(batch, path).drop("is_new", "touched")
-    # The time is part of the hash, so one station or day does not become one task.
-    write_table(merged.repartition("day", "basin", "station_id", F.hour("ts")), path, partition_by=["day"])
+    write_table(merge_readings(batch, path).drop("is_new", "touched"), path, ["day"])
 
 
 def start_ingest(readings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
