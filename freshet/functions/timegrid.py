@@ -62,6 +62,11 @@ def spanish_date(ts: Column, with_year: bool = True, with_time: bool = True) ->
     return text
 
 
+def period_text(start: Column, end: Column) -> Column:
+    """``2016-01-01 a 2016-01-07``."""
+    return F.concat_ws(" a ", *[d.cast("date").cast("string") for d in (start, end)])
+
+
 def local_now(zone: str = "America/Bogota") -> Column:
     """Wall-clock time of the query in the gauges' zone."""
     return F.convert_timezone(None, F.lit(zone), F.current_timestamp().cast("timestamp_ntz"))

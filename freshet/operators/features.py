@@ -19,12 +19,15 @@ def feature_rows(
     horizons: tuple[int, ...] = (),
     keys: list[str] | None = None,
     chunk_len: int | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """The 18 features (and ``target_{h}h`` columns) at every hour of good quality.
 
     ``quality`` holds only hours with enough stations; an hour that was set aside is
-    absent from every frame, exactly like an hour that never reported.
+    absent from every frame, exactly like an hour that never reported. Hours whose
+    values were masked to NULL count the same way. ``carry`` keeps further columns.
     """
+    carry = carry or []
     keys = keys or ["basin"]
 
     def columns(w):
@@ -36,7 +39,7 @@ def feature_rows(
         out |= {f"target_{h}h": exactly(w, q, h) for h in horizons}
         return out
 
-    base = quality.select(*keys, "hour_idx", "P_basin", "Q_scs_proxy")
+    base = quality.select(*keys, "hour_idx", "P_basin", "Q_scs_proxy", *carry)
     wide = add_windowed(
         base, keys, "hour_idx", columns,
         back=S.LOOK_BACK_HOURS, ahead=max(horizons, default=0), chunk_len=chunk_len,
@@ -49,7 +52,7 @@ def feature_rows(
         }
     )
     return stamped.select(
-        *keys, "hour_idx", "timestamp", *S.FEATURES, *[f"target_{h}h" for h in horizons]
+        *keys, "hour_idx", "timestamp", *S.FEATURES, *[f"target_{h}h" for h in horizons], *carry
     )
 
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from freshet import schema as S
 from freshet.functions.timegrid import epoch_micros, month_start
-from freshet.operators.features import complete, feature_rows
-from freshet.operators.series import quality_split
+from freshet.operators.features import feature_rows
 
 N = "n_estaciones_disponibles"
 # The rainy season's months.
@@ -39,20 +38,20 @@ def dominated_months(availability: DataFrame, share: float = 0.5) -> DataFrame:
     return availability.filter((F.col("pct_n0") > share) | (F.col("pct_n1") > share))
 
 
-def unexplained_months(availability: DataFrame, outages: list[tuple[str, str, str | None]], series_end: Column) -> DataFrame:
+def unexplained_months(availability: DataFrame, outages: list[tuple[str, str, str | None]]) -> DataFrame:
     """Months with low-availability hours that touch no known outage.
 
-    ``outages`` is the configured list (name, start, end); an open one lasts to
-    ``series_end``, a column of ``availability``.
+    ``outages`` is the configured list (name, start, end); an open one lasts to the end
+    of the series, which no month of the series starts after.
     """
     month_end = F.add_months("month", 1).cast("timestamp_ntz") - F.expr("INTERVAL 1 MICROSECOND")
     month_begin = F.col("month").cast("timestamp_ntz")
     explained = F.lit(False)
     for _, start, end in outages:
-        last = F.lit(end).cast("timestamp_ntz") if end else series_end
-        explained = explained | (
-            (month_begin <= last) & (month_end >= F.lit(start).cast("timestamp_ntz"))
-        )
+        touches = month_end >= F.lit(start).cast("timestamp_ntz")
+        if end:
+            touches = touches & (month_begin <= F.lit(end).cast("timestamp_ntz"))
+        explained = explained | touches
     low = F.col("n0") + F.col("n1")
     return availability.filter((low > 0) & ~explained)
 
@@ -77,19 +76,21 @@ def season_months(df: DataFrame, keys: list[str]) -> DataFrame:
 def stage_funnel(series: DataFrame, keys: list[str], horizon: int = 6) -> DataFrame:
     """Rows left after the quality, feature and target filters, and the loss at each.
 
-    Quality is a flag on the rows, so the series feeds one aggregation and one feature
-    pass; the two meet per group.
+    Low-quality hours are masked instead of removed, so all stages are counted in one
+    pass over the series.
     """
-    totals = series.groupBy(*keys).agg(
+    good = F.col(N) >= S.MIN_STATIONS
+    masked = series.withColumns({c: F.when(good, F.col(c)) for c in ("P_basin", "Q_scs_proxy")})
+    rows = feature_rows(masked, (horizon,), keys, carry=[N])
+    ready = F.lit(True)
+    for c in S.FEATURES:
+        ready = ready & F.col(c).isNotNull()
+    out = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col(N) >= S.MIN_STATIONS).alias("after_quality"),
+        F.count_if(good).alias("after_quality"),
+        F.count_if(ready).alias("after_features"),
+        F.count_if(ready & F.col(f"target_{horizon}h").isNotNull()).alias("after_target"),
     )
-    rows = complete(feature_rows(quality_split(series)[0], (horizon,), keys))
-    stages = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("after_features"),
-        F.count(f"target_{horizon}h").alias("after_target"),
-    )
-    out = totals.join(stages, keys, "left").fillna(0, ["after_features", "after_target"])
     return out.withColumns(
         {
             "lost_quality": F.col("total") - F.col("after_quality"),

@@ -49,9 +49,15 @@ def train_quantile(target: str, p: float) -> Column:
     return F.percentile(F.when(F.col("split") == "train", F.col(target)), p)
 
 
+def _group(keys: list[str]):
+    if not keys:
+        raise ValueError("window columns are per series: keys must not be empty")
+    return Window.partitionBy(*keys)
+
+
 def with_label(df: DataFrame, target: str, keys: list[str], p: float = 0.90) -> DataFrame:
     """Add the train quantile and ``label`` = target strictly above it."""
-    q = train_quantile(target, p).over(Window.partitionBy(*keys))
+    q = train_quantile(target, p).over(_group(keys))
     out = df.withColumn("train_quantile", q)
     return out.withColumn("label", (F.col(target) > F.col("train_quantile")).cast("int"))
 
@@ -65,7 +71,14 @@ def quantiles(df: DataFrame, target: str, value: str, keys: list[str]) -> DataFr
 
 
 def with_class_weights(df: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
-    """Balanced weights n / (2 * class size) over the given rows."""
+    """Balanced weights n / (2 * class size), per series or (no keys) over all given rows.
+
+    Without keys the two class sizes are counted first, so no window spans all rows.
+    """
+    if not keys:
+        n, ones = df.agg(F.count(label), F.count_if(F.col(label) == 1)).first()
+        size = F.when(F.col(label) == 1, F.lit(ones)).otherwise(F.lit(n - ones))
+        return df.withColumn("class_weight", F.lit(n) / (2 * size))
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     same = F.count(F.lit(1)).over(Window.partitionBy(*keys, label))
     return df.withColumn("class_weight", n / (2 * same))
@@ -76,7 +89,7 @@ def with_sample_weights(df: DataFrame, target: str, keys: list[str]) -> DataFram
 
     Series whose largest train target is not positive have no weights (NULL).
     """
-    top = F.max(F.when(F.col("split") == "train", F.col(target))).over(Window.partitionBy(*keys))
+    top = F.max(F.when(F.col("split") == "train", F.col(target))).over(_group(keys))
     weight = F.when(top > 0, 1 + F.col(target) / top * EVENT_WEIGHT)
     return df.withColumns({"sample_weight": weight, "delta": F.col(target) - F.col("Q_actual")})
 

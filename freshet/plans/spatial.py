@@ -75,13 +75,20 @@ def compare_pairs(
     """Wet days in both stations of each pair, exceedances of the abstraction, correlation.
 
     ``pairs`` is the configured list (basin, station_a, station_b); only those pairs
-    are formed, by two equi-joins on the day.
+    are formed. Each day is looked up once with its role in a pair and the two roles
+    meet in an aggregation, so the daily rain is computed once and never self-joined.
     """
     daily = daily_rain(stations, min_hours)
-    a = daily.select("basin", F.col("station_id").alias("station_a"), "day_idx", F.col("mm").alias("a"))
-    b = daily.select("basin", F.col("station_id").alias("station_b"), "day_idx", F.col("mm").alias("b"))
-    both = pairs.join(a, ["basin", "station_a"]).join(b, ["basin", "station_b", "day_idx"])
-    wet = both.filter((F.col("a") > 0) & (F.col("b") > 0))
+    roles = pairs.select(
+        "basin", "station_a", "station_b",
+        F.explode(F.array(*[
+            F.struct(F.col(f"station_{s}").alias("station_id"), F.lit(s).alias("side")) for s in "ab"
+        ])).alias("_role"),
+    ).select("basin", "station_a", "station_b", "_role.*")
+    sides = daily.join(roles, ["basin", "station_id"]).groupBy(
+        "basin", "station_a", "station_b", "day_idx"
+    ).agg(*[F.max(F.when(F.col("side") == s, F.col("mm"))).alias(s) for s in "ab"])
+    wet = sides.filter((F.col("a") > 0) & (F.col("b") > 0))
     ia = hydrology.abstraction(cn)
     over = (F.col("a") > ia).cast("int") + (F.col("b") > ia).cast("int")
     spread = (F.stddev_pop("a") > 0) & (F.stddev_pop("b") > 0)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from freshet import schema as S
 from freshet.operators import features as feats
 from freshet.operators.series import quality_split
@@ -67,10 +65,7 @@ def dominated_months(spark, sf_dir):
     ),
 )
 def months_outside_known_outages(spark, sf_dir):
-    base = long_series(spark, sf_dir)
-    end = base.groupBy("basin").agg(F.max("timestamp").alias("series_end"))
-    months = diagnostics.availability_by_month(base, KEYS).join(end, KEYS)
-    found = diagnostics.unexplained_months(months, gauges.LONG_OUTAGES, F.col("series_end"))
+    found = diagnostics.unexplained_months(_months(spark, sf_dir), gauges.LONG_OUTAGES)
     return found.select("basin", "month", "n0", "n1", "total_mes")
 
 

@@ -11,7 +11,12 @@ from freshet.queries.base import KEYS, dataset, held_out, labelled, r6, series
 from freshet.queries.sql import r, with_ctes
 
 HELD = "FROM held_out GROUP BY basin"
-CALL = (F.col("proba_alerta") >= 0.3).cast("int")
+
+
+def _call():
+    return (F.col("proba_alerta") >= 0.3).cast("int")
+
+
 SQL_CALL = "CAST(proba_alerta >= 0.3 AS INTEGER)"
 
 
@@ -122,7 +127,7 @@ CONFUSION = f"""SELECT basin, count(*) FILTER (label = 0 AND {SQL_CALL} = 0) AS
 
 @query("confusion_matrix", "D21", with_ctes(CONFUSION, "held_out"))
 def confusion_matrix(spark, sf_dir):
-    return ev.confusion(held_out(spark, sf_dir), CALL, KEYS)
+    return ev.confusion(held_out(spark, sf_dir), _call(), KEYS)
 
 
 @query(
@@ -135,7 +140,7 @@ def confusion_matrix(spark, sf_dir):
         "held_out", c=CONFUSION),
 )
 def always_negative_baseline(spark, sf_dir):
-    return r6(ev.against_always_negative(held_out(spark, sf_dir), CALL, KEYS))
+    return r6(ev.against_always_negative(held_out(spark, sf_dir), _call(), KEYS))
 
 
 @query(
@@ -153,7 +158,7 @@ def always_negative_baseline(spark, sf_dir):
         m=f"SELECT *, {_ratio('2 * p0 * r0', 'p0 + r0')} AS f0, {_ratio('2 * p1 * r1', 'p1 + r1')} AS f1 FROM pr"),
 )
 def classification_report(spark, sf_dir):
-    return r6(ev.classification_report(held_out(spark, sf_dir), CALL, KEYS))
+    return r6(ev.classification_report(held_out(spark, sf_dir), _call(), KEYS))
 
 
 @query(

@@ -182,7 +182,8 @@ GAP_READINGS_SQL = "SELECT 'P' || CAST(l_partkey % 97 AS VARCHAR) AS station_id,
 @query(
     "gap_ledger", "A7",
     with_ctes(
-        f"""SELECT s.station_id, x.slice_start, least(x.slice_start + 6, DATE '{LONG_TO}') AS slice_end FROM stations s
+        f"""SELECT s.station_id, x.slice_start, least(x.slice_start + 6, DATE '{LONG_TO}') AS slice_end,
+              strftime(x.slice_start, '%Y-%m-%d') || ' a ' || strftime(least(x.slice_start + 6, DATE '{LONG_TO}'), '%Y-%m-%d') AS rango FROM stations s
             CROSS JOIN (SELECT CAST(unnest(generate_series(TIMESTAMP '{LONG_FROM}', TIMESTAMP '{LONG_TO}', INTERVAL 7 DAY)) AS DATE) AS slice_start) x
             WHERE NOT EXISTS (SELECT 1 FROM rd WHERE rd.station_id = s.station_id AND rd.d >= x.slice_start AND rd.d < x.slice_start + 7)""",
         stations=GAP_STATIONS_SQL, rd=GAP_READINGS_SQL),
@@ -191,7 +192,9 @@ def gap_ledger(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     station = F.concat(F.lit("P"), (F.col("l_partkey") % 97).cast("string")).alias("station_id")
     rows = li.select(station, F.col("l_shipdate").cast("timestamp_ntz").alias("ts"))
-    return landing.gap_ledger(rows.select("station_id").distinct(), rows, LONG_FROM, LONG_TO)
+    path = shared_folder(spark, "gaps")
+    landing.record_gaps(landing.gap_ledger(rows.select("station_id").distinct(), rows, LONG_FROM, LONG_TO), path)
+    return spark.read.parquet(path)
 
 
 @query(

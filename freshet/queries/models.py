@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from freshet.functions import rules
@@ -18,10 +19,8 @@ def _stored_dataset(spark, sf_dir):
     path = shared_folder(spark, "training")
     rows = ev.with_persistence(dataset(spark, sf_dir), series(spark, sf_dir), KEYS)
     rows = ev.with_sample_weights(ev.with_label(rows, "target_6h", KEYS), "target_6h", KEYS)
-    p75 = ev.with_label(rows, "target_6h", KEYS, 0.75).withColumnRenamed("train_quantile", "p75_train")
-    labels = rows.select(*KEYS, "hour_idx", F.col("label").alias("_label"))
-    rows = p75.drop("label").join(labels, [*KEYS, "hour_idx"]).withColumnRenamed("_label", "label")
-    write_table(ev.with_class_weights(rows, [*KEYS, "split"]), path)
+    p75 = ev.train_quantile("target_6h", 0.75).over(Window.partitionBy(*KEYS))
+    write_table(rows.withColumn("p75_train", p75), path)
     return spark.read.parquet(path)
 
 
@@ -45,7 +44,7 @@ def forest_classifier_sweep(spark, sf_dir):
     rows = _stored_dataset(spark, sf_dir)
     train, test = ev.split_sides(rows)
     path = shared_folder(spark, "model")
-    training.save(training.fit_classifier(train), path)
+    training.save(training.fit_classifier(ev.with_class_weights(train, [])), path)
     scored = rules.with_rules(training.score(training.load(path), test))
     return r6(ev.threshold_table(scored, ev.SWEEP + [0.7], ["proba_modelo", "proba_alerta"], KEYS))
 
@@ -53,6 +52,6 @@ def forest_classifier_sweep(spark, sf_dir):
 @query("forest_importance", "F5 D37 J5")
 def forest_importance(spark, sf_dir):
     train, _ = ev.split_sides(_stored_dataset(spark, sf_dir))
-    ranked = training.importances(spark, training.fit_classifier(train))
+    ranked = training.importances(spark, training.fit_classifier(ev.with_class_weights(train, [])))
     total = ev.importance_by_family(ranked)
     return r6(ranked.join(total, F.lit(True)))

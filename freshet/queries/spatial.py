@@ -104,6 +104,20 @@ def station_pair_distances(spark, sf_dir):
     return r6(spatial.pair_distances(pairs, located))
 
 
+@query(
+    "catalogue_lookup", "C9",
+    with_ctes(
+        """SELECT c.codigo, s.nombre, s.estado, s.zone FROM (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS codigo FROM customer) c
+           LEFT JOIN stations s ON s.codigo = lpad(c.codigo, 10, '0')""", stations=STATIONS_SQL),
+)
+def catalogue_lookup(spark, sf_dir):
+    """Every customer key looked up as a station code; most have no catalogue row."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    codes = c.select(F.col("c_custkey").cast("string").alias("codigo")).distinct()
+    rows = _stations(spark, sf_dir).select("codigo", "nombre", "estado", "zone")
+    return catalogue.metadata(codes, rows)
+
+
 # A route per ten suppliers, in key order.
 ROUTE_SQL = {
     "stations": STATIONS_SQL,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from freshet import schema as S
 from freshet.functions.geo import coordinate, haversine_km
-from freshet.functions.text import code_variants, lower_text, name_fragments, upper_text
+from freshet.functions.text import code_variants, lower_text, name_fragments, padded_code, upper_text
 from freshet.sources.columns import available
 
 OUTPUT = ["codigo", "nombre", "categoria", "estado", "municipio", "distancia_km", "lat", "lon"]
@@ -47,6 +47,18 @@ def nearest(catalogue: DataFrame, lat: float, lon: float, municipalities: list[s
     return by_distance(catalogue, lat, lon, municipalities).orderBy("distancia_km", "codigo").limit(k)
 
 
+def metadata(codes: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Catalogue row of each code (by padded code); NULLs when there is none.
+
+    A code listed several times resolves to its first row by value.
+    """
+    rest = [c for c in catalogue.columns if c != "codigo"]
+    key = padded_code(F.col("codigo")).alias("_code")
+    first = catalogue.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row"))
+    joined = codes.withColumn("_code", padded_code(F.col("codigo"))).join(first, "_code", "left")
+    return joined.select(*codes.columns, *[F.col("_row").getField(c).alias(c) for c in rest])
+
+
 DESCRIPTION = ["codigoestacion", "nombreestacion", "departamento", "municipio"]
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions.text import code_variants
-from freshet.functions.timegrid import hour_start
+from freshet.functions.timegrid import hour_start, period_text
+from freshet.sources.tables import write_table
 
 # Fixed value: where an update starts when nothing is known yet.
 DEFAULT_START = "2026-09-30 18:00:00"
@@ -57,7 +58,14 @@ def gap_ledger(stations: DataFrame, readings: DataFrame, start: str, end: str, d
     slices = expected_slices(stations, start, end, f"{days} days")
     missing = slices.join(seen, ["station_id", "slice_start"], "left_anti")
     last = F.least(F.date_add("slice_start", days - 1), F.lit(end).cast("date"))
-    return missing.select("station_id", "slice_start", last.alias("slice_end"))
+    return missing.select("station_id", "slice_start", last.alias("slice_end")).withColumn(
+        "rango", period_text(F.col("slice_start"), F.col("slice_end"))
+    )
+
+
+def record_gaps(ledger: DataFrame, path: str) -> None:
+    """Replace the stored ledger; a complete download leaves it empty."""
+    write_table(ledger, path)
 
 
 def high_water_marks(

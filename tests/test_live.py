@@ -4,7 +4,8 @@ from tests.conftest import MEDIUM
 
 from freshet import schema as S
 from freshet.operators import features, series
-from freshet.plans import reporting, training, update
+from freshet.functions import rules
+from freshet.plans import evaluation, reporting, scenarios, training, update
 from freshet.queries import base, models
 from freshet.session import shared_folder
 from freshet.sources import gauges, tables
@@ -137,7 +138,7 @@ def test_forests_learn_and_round_trip(spark):
     """Metric bounds: better than chance on held-out rows, probabilities survive saving."""
     data = models._stored_dataset(spark, MEDIUM)
     train, test = data.filter("split = 'train'"), data.filter("split = 'test'")
-    model = training.fit_classifier(train, numTrees=20, maxDepth=6)
+    model = training.fit_classifier(evaluation.with_class_weights(train, []), numTrees=20, maxDepth=6)
     path = shared_folder(spark, "m")
     training.save(model, path)
     scored = training.score(training.load(path), test)
@@ -149,6 +150,10 @@ def test_forests_learn_and_round_trip(spark):
     assert 0 <= r.lo <= r.hi <= 1 and (r.pos is None or r.pos > r.neg)
     same = training.score(model, test).select(*KEYS, "proba_modelo")
     assert scored.select(*KEYS, "proba_modelo").exceptAll(same).count() == 0
+    dry = spark.createDataFrame([tuple([0.0] * 6)], ", ".join(f"{c} double" for c in scenarios.INPUTS))
+    year = scenarios.scenario_features(scenarios.over_the_year(dry), F.col("hora_dia"), F.col("mes"))
+    worst = scenarios.scored_scenarios(year, lambda d: training.score(model, d)).agg(F.max("proba_alerta")).first()[0]
+    assert worst <= rules.DRY_PROBABILITY_CAP
     imp = training.importances(spark, model)
     assert imp.count() == len(S.FEATURES) and imp.agg(F.sum("importance")).first()[0] == pytest.approx(1)
     reg = training.fit_regressor(train, "delta", numTrees=10, maxDepth=5)

@@ -250,3 +250,35 @@ def test_partition_overwrite_keeps_other_days(spark, tmp_path):
     tables.write_table(spark.createDataFrame([(1, "a"), (2, "b")], "v int, day string"), path, ["day"])
     tables.write_table(spark.createDataFrame([(9, "b")], "v int, day string"), path, ["day"])
     assert {(r.v, r.day) for r in spark.read.parquet(path).collect()} == {(1, "a"), (9, "b")}
+
+
+def test_gap_ledger_is_cleared_when_complete(spark, tmp_path):
+    stations = spark.createDataFrame([("S0",)], "station_id string")
+    rows = spark.sql("SELECT 'S0' station_id, timestamp_ntz'2024-01-09 03:00:00' ts")
+    path = str(tmp_path / "gaps")
+    landing.record_gaps(landing.gap_ledger(stations, rows, "2024-01-01", "2024-01-20"), path)
+    assert sorted(r.rango for r in spark.read.parquet(path).collect()) == [
+        "2024-01-01 a 2024-01-07", "2024-01-15 a 2024-01-20"
+    ]
+    landing.record_gaps(landing.gap_ledger(stations, rows, "2024-01-08", "2024-01-12"), path)
+    assert spark.read.parquet(path).count() == 0
+
+
+def test_update_start_falls_back(spark):
+    stations = spark.createDataFrame([("b", "S0"), ("b", "S1"), ("x", "S0")], "basin string, station_id string")
+    rows = spark.sql("SELECT 'b' basin, 'S0' station_id, timestamp_ntz'2024-01-09 03:10:00' ts")
+    ends = spark.createDataFrame([("b", 24 * 10)], "basin string, hour_idx bigint")
+    got = {(r.basin, r.station_id): str(r.since) for r in landing.high_water_marks(stations, rows, ends).collect()}
+    assert got == {("b", "S0"): "2024-01-09 03:10:00", ("b", "S1"): "1970-01-08 00:00:00",
+                   ("x", "S0"): "2026-09-30 18:00:00"}
+
+
+def test_basin_window_groups_are_hours_not_readings(spark):
+    """One shuffle per level: readings by row, then station hours, basin hours, and basins."""
+    from tests.conftest import SMALL
+    from freshet.queries import base
+
+    plan = features.dataset(base.series(spark, SMALL), 6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 4
+    assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in plan
