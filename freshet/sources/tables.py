@@ -19,13 +19,24 @@ def read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | Non
     return read(spark, path, schema) if exists(spark, path) else None
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
+def write_table(
+    df: DataFrame,
+    path: str,
+    partition_by: list[str] | None = None,
+    fmt: str = "parquet",
+    salt_on: list[str] | None = None,
+) -> None:
     """Replace a table, or only the partitions present in ``df`` when it is partitioned.
 
     Rows are rebalanced on the partition columns first: a small partition becomes one
-    file instead of one per task, and a large one is split at run time.
+    file instead of one per task, and a large one is split at run time. Micro-batches
+    run without adaptive execution, so they split each partition by a hash of ``salt_on``.
     """
-    if partition_by:
+    if partition_by and salt_on:
+        salts = df.sparkSession.sparkContext.defaultParallelism
+        salt = F.pmod(F.xxhash64(*salt_on), F.lit(salts))
+        df = df.repartition(*partition_by, salt)
+    elif partition_by:
         df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":

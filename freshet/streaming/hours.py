@@ -58,10 +58,10 @@ def closed_station_hours(
     return hours.select("basin", "station_id", hour_index(start).alias("hour_idx"), "mm")
 
 
-def _store(df: DataFrame, path: str, batch_id: int) -> None:
+def _store(df: DataFrame, path: str, batch_id: int, salt_on: list[str] | None = None) -> None:
     """Write a batch under (day, batch): a replayed batch replaces exactly its own files."""
     tagged = df.withColumns({"day": day_date(day_index(F.col("hour_idx"))), "batch": F.lit(batch_id)})
-    write_table(tagged, path, partition_by=["day", "batch"])
+    write_table(tagged, path, ["day", "batch"], salt_on=salt_on)
 
 
 def recent(spark: SparkSession, path: str, since: int) -> DataFrame:
@@ -76,14 +76,16 @@ def process_batch(
     root: str,
     score: Callable[[DataFrame], DataFrame],
     cn: float = hydrology.DEFAULT_CN,
+    spark: SparkSession | None = None,
 ) -> None:
     """Store the closed hours, then compute and store features and log rows for them.
 
     All hours of a micro-batch close at the same watermark, so they are complete
-    across stations and later than any hour stored before.
+    across stations and later than any hour stored before. The stream's own session
+    has adaptive execution off; what follows the first write runs in ``spark``.
     """
-    spark = closed.sparkSession
-    _store(basin_hours(closed), f"{root}/hours", batch_id)
+    spark = spark or closed.sparkSession
+    _store(basin_hours(closed), f"{root}/hours", batch_id, salt_on=KEYS)
     stored = read(spark, f"{root}/hours", HOURS).filter(F.col("batch") == batch_id)
     first, last = stored.agg(F.min("hour_idx"), F.max("hour_idx")).first()
     if first is None:
@@ -107,10 +109,11 @@ def start(
 ) -> StreamingQuery:
     """Run over everything available, then stop; the checkpoint under ``root`` resumes it."""
     closed = closed_station_hours(readings, lateness, arrival)
+    session = readings.sparkSession
     return (
         closed.writeStream.outputMode("append")
         .option("checkpointLocation", f"{root}/_checkpoint")
         .trigger(availableNow=True)
-        .foreachBatch(lambda df, i: process_batch(df, i, root, score))
+        .foreachBatch(lambda df, i: process_batch(df, i, root, score, spark=session))
         .start()
     )

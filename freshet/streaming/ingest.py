@@ -39,7 +39,8 @@ def merge_readings(batch: DataFrame, path: str) -> DataFrame:
 
 
 def upsert(batch: DataFrame, path: str) -> None:
-    write_table(merge_readings(batch, path).drop("is_new", "touched"), path, ["day"])
+    merged = merge_readings(batch, path).drop("is_new", "touched")
+    write_table(merged, path, ["day"], salt_on=KEY)
 
 
 def start_ingest(readings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
