@@ -72,7 +72,10 @@ def with_runoff(
 
 
 def runoff_series(
-    readings: DataFrame, cn: Column | float = hydrology.DEFAULT_CN, unique: bool = False
+    readings: DataFrame,
+    cn: Column | float = hydrology.DEFAULT_CN,
+    unique: bool = False,
+    chunk_len: int | None = None,
 ) -> DataFrame:
     """The hourly basin series: rain, accumulation, runoff, availability.
 
@@ -80,7 +83,7 @@ def runoff_series(
     one row per basin and hour, whatever the number of stations or readings.
     """
     hours = basin_hours(station_hours(readings, unique=unique))
-    return timestamped(with_runoff(complete_grid(hours), cn))
+    return timestamped(with_runoff(complete_grid(hours), cn, chunk_len=chunk_len))
 
 
 def timestamped(series: DataFrame) -> DataFrame:

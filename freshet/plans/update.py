@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from freshet import schema as S
 from freshet.functions import hydrology
-from freshet.functions.timegrid import day_date, day_index, hour_index, hour_start
+from freshet.functions.timegrid import day_date, day_index, hour_index, hour_start, local_now
 from freshet.operators.dedup import splice
-from freshet.operators.features import CHUNK_HOURS, complete, feature_rows
+from freshet.operators.features import (
+    CHUNK_HOURS, chronological_split, complete, existing_cut, feature_rows,
+)
 from freshet.operators.series import quality_split, runoff_series
 from freshet.plans.reporting import prediction_log
 from freshet.session import shared_folder
@@ -40,12 +42,13 @@ def _from_hour(df: DataFrame, hour: int) -> DataFrame:
 
 
 def new_readings(
-    spark: SparkSession, batch: DataFrame, root: str, now: str, late_hours: int = 0
+    spark: SparkSession, batch: DataFrame, root: str, now: str | None = None, late_hours: int = 0
 ) -> DataFrame:
     """Batch rows between each station's high-water mark (less ``late_hours``) and now."""
+    until = F.lit(now).cast("timestamp_ntz") if now else local_now()
     stored = read_or_none(spark, f"{root}/readings", S.READINGS_TABLE)
     if stored is None:
-        return batch.filter(F.col("ts") <= F.lit(now).cast("timestamp_ntz"))
+        return batch.filter(F.col("ts") <= until)
     series = read_or_none(spark, f"{root}/series", S.SERIES_TABLE)
     none = spark.createDataFrame([], "basin string, hour_idx bigint")
     ends = none if series is None else series.groupBy("basin").agg(F.max("hour_idx").alias("hour_idx"))
@@ -53,7 +56,7 @@ def new_readings(
     marks = high_water_marks(stations, stored, ends, default="1970-01-01 00:00:00")
     due = batch.join(marks, ["basin", "station_id"])
     start = F.col("since") - F.make_dt_interval(F.lit(0), F.lit(late_hours))
-    return due.filter(F.col("ts").between(start, F.lit(now).cast("timestamp_ntz"))).drop("since")
+    return due.filter(F.col("ts").between(start, until)).drop("since")
 
 
 def live_update(
@@ -61,13 +64,15 @@ def live_update(
     batch: DataFrame,
     root: str,
     score: Callable[[DataFrame], DataFrame],
-    now: str,
+    now: str | None = None,
     late_hours: int = 48,
     cn: float = hydrology.DEFAULT_CN,
+    horizons: tuple[int, ...] = S.HORIZONS,
 ) -> DataFrame:
     """Apply a batch of readings (basin, station_id, sensor_id, ts, mm, arrival).
 
-    ``late_hours`` admits readings published that long before the high-water mark.
+    ``now`` defaults to the gauges' local time; ``late_hours`` admits readings published
+    that long before the high-water mark. The datasets keep their earlier split cut.
     Returns per station the new rows and the last reading.
     """
     stage = shared_folder(spark, "update")
@@ -101,9 +106,10 @@ def live_update(
     write_table(_by_day(joined), f"{stage}/series")
     series = read(spark, f"{stage}/series", S.SERIES_TABLE).drop("day")
 
-    rows = feature_rows(quality_split(series)[0])
+    rows = feature_rows(quality_split(series)[0], horizons)
     write_table(_by_day(rows), f"{stage}/features")
-    staged = read(spark, f"{stage}/features", S.FEATURES_TABLE).drop("day")
+    targets = "".join(f", target_{h}h double" for h in horizons)
+    staged = read(spark, f"{stage}/features", S.FEATURES_TABLE + targets).drop("day")
     warm = since + S.HISTORY_HOURS if stored is not None else since
     # New hours see nothing older than the splice, so both computations must agree there.
     again = feature_rows(quality_split(part)[0], chunk_len=CHUNK_HOURS)
@@ -112,7 +118,18 @@ def live_update(
     log = prediction_log(score(complete(staged.filter(F.col("hour_idx") >= warm))), [*KEYS, "hour_idx"])
     write_table(_by_day(log), f"{stage}/log")
 
+    datasets = {f"dataset_{h}h": S.dataset_table(h) for h in horizons}
+    for h, (name, schema) in zip(horizons, datasets.items()):
+        ready = complete(staged.filter(F.col("hour_idx") >= warm), f"target_{h}h")
+        cut = existing_cut(read_or_none(spark, f"{root}/{name}", schema), KEYS)
+        ready = chronological_split(ready, KEYS, previous_cut=cut).drop(
+            *[f"target_{o}h" for o in horizons if o != h]
+        )
+        write_table(_by_day(ready), f"{stage}/{name}")
+
     _publish(spark, f"{stage}/series", f"{root}/series", S.SERIES_TABLE, since)
+    for name, schema in datasets.items():
+        _publish(spark, f"{stage}/{name}", f"{root}/{name}", schema, warm)
     _publish(spark, f"{stage}/log", f"{root}/log", S.LOG_TABLE, warm)
     return summary
 

@@ -12,7 +12,7 @@ from freshet.queries import query
 from freshet.queries.base import r6, score, series
 from freshet.queries.dataset import FEATURE_SQL
 from freshet.queries.reporting import LOG_SQL
-from freshet.queries.sql import r, with_ctes
+from freshet.queries.sql import _series, r, with_ctes
 from freshet.session import shared_folder
 from freshet.sources import gauges
 from freshet.sources.tables import read
@@ -137,6 +137,27 @@ def live_update_log(spark, sf_dir):
     return r6(read(spark, f"{root}/log", S.LOG_TABLE).select("basin", *S.LOG_COLUMNS))
 
 
+def _dataset_sql() -> str:
+    ctes = _series("old_", "old_readings")
+    parts = {"old_readings": "SELECT * FROM readings WHERE ts < TIMESTAMP '2024-01-25'"}
+    parts |= {n: ctes[f"old_{n[4:]}"][1] for n in (
+        "old_station_hours", "old_basin_hours", "old_grid", "old_acc", "old_proxy", "old_quality",
+        "old_features", "old_complete", "old_ds6")}
+    parts["cuts"] = "SELECT basin, min(hour_idx) AS cut FROM old_ds6 WHERE split = 'test' GROUP BY basin"
+    return with_ctes(
+        f"""SELECT basin, timestamp, {FEATURE_SQL}, {r('target_6h')} AS target_6h,
+              CASE WHEN cut IS NULL THEN split WHEN hour_idx >= cut THEN 'test' ELSE 'train' END AS split
+            FROM ds6 LEFT JOIN cuts USING (basin)""", "ds6", **parts)
+
+
+@query("live_update_dataset", "I6 E10 E7", _dataset_sql())
+def live_update_dataset(spark, sf_dir):
+    """The training rows after the second update keep the first build's cut."""
+    root, _ = _updated(spark, sf_dir)
+    rows = read(spark, f"{root}/dataset_6h", S.dataset_table(6))
+    return r6(rows.select("basin", "timestamp", *S.FEATURES, "target_6h", "split"))
+
+
 @query(
     "live_update_summary", "I6 D38 A11",
     with_ctes(

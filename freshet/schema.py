@@ -43,6 +43,12 @@ SERIES_TABLE = (
 FEATURES_TABLE = (
     f"{_HOUR}, " + ", ".join(f"{c} {'int' if c in ('hora_dia', 'mes') else 'double'}" for c in FEATURES) + ", day date"
 )
+
+
+def dataset_table(horizon: int) -> str:
+    return FEATURES_TABLE.replace(", day date", f", target_{horizon}h double, split string, day date")
+
+
 LOG_TABLE = (
     f"{_HOUR}, P_basin double, Q_actual double, Q_lag_1h double, roll_sum_24h double, hora_dia int, mes int, "
     "proba_modelo double, proba_alerta double, estado string, day date"
