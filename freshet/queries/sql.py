@@ -113,10 +113,11 @@ CTES: dict[str, tuple[list[str], str]] = {
     "all_readings": ([], """
         SELECT 'B' || CAST(user_id // 75 AS VARCHAR) AS basin, 'S' || CAST(user_id % 3 AS VARCHAR) AS station_id,
           CASE WHEN event_type = 'error' THEN '257' ELSE '240' END AS sensor_id, ts,
-          CASE WHEN day(ts) % 6 IN (1, 2, 3) THEN CAST(floor(greatest(value - 75, 0) / 25) AS INTEGER) ELSE 0 END AS tips
+          CASE WHEN day(ts) % 6 IN (1, 2, 3) THEN CAST(floor(greatest(value - 75, 0) / 25) AS INTEGER)
+            * CASE WHEN day(ts) >= 22 THEN 2 ELSE 1 END ELSE 0 END AS tips
         FROM events
         WHERE NOT (user_id % 3 = 1 AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-14')
-          AND NOT (user_id % 3 = 0 AND ts >= TIMESTAMP '2024-01-25')"""),
+          AND NOT (user_id % 3 = 0 AND ts >= TIMESTAMP '2024-01-29')"""),
     "readings": (["all_readings"], "SELECT * FROM all_readings WHERE sensor_id = '240'"),
     "long_readings": ([], """
         SELECT 'L0' AS basin, 'S' || CAST(l_suppkey % 3 AS VARCHAR) AS station_id, '240' AS sensor_id,

@@ -17,7 +17,7 @@ QA_SENSOR = "257"
 STATIONS = ["S0", "S1", "S2"]
 OUTAGES = [
     ("S1", "2024-01-10 00:00:00", "2024-01-14 00:00:00"),
-    ("S0", "2024-01-25 00:00:00", None),
+    ("S0", "2024-01-29 00:00:00", None),
 ]
 LONG_OUTAGES = [
     ("S1", "1997-03-05 00:00:00", "1997-09-20 00:00:00"),
@@ -39,7 +39,10 @@ def from_events(events: DataFrame, users_per_basin: int = USERS_PER_BASIN) -> Da
     """Every reading of every sensor, outages applied."""
     user = F.col("user_id")
     tips = F.floor(F.greatest(F.col("value") - 75, F.lit(0.0)) / 25).cast("int")
+    # Three rainy days in six, and heavier rain from the 22nd on, so that the later test
+    # rows hold events too.
     rainy = (F.dayofmonth("ts") % 6).isin(1, 2, 3)
+    tips = tips * F.when(F.dayofmonth("ts") >= 22, 2).otherwise(1)
     rows = events.select(
         F.concat(F.lit("B"), F.floor(user / users_per_basin).cast("string")).alias("basin"),
         F.concat(F.lit("S"), (user % 3).cast("string")).alias("station_id"),

@@ -282,3 +282,23 @@ def test_basin_window_groups_are_hours_not_readings(spark):
     assert plan.count("Exchange hashpartitioning") == 4
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in plan
+
+
+def test_hot_station_hour_of_copies(spark):
+    """A third of the readings are copies of one row and another third share one hour."""
+    df = spark.range(9_000).select(
+        F.lit("b").alias("basin"), F.lit("S0").alias("station_id"), F.lit("240").alias("sensor_id"),
+        (F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(
+            F.lit(0), F.when(F.col("id") % 3 == 2, (F.col("id") % 48).cast("int")).otherwise(5), F.lit(0),
+            F.when(F.col("id") % 3 == 1, (F.col("id") / 3).cast("int") % 3000).otherwise(0).cast("decimal(18,6)"),
+        )).alias("ts"),
+        F.lit(1.5).alias("mm"),
+    )
+    want = {}
+    for r in {tuple(x) for x in df.collect()}:
+        hour = r[3].replace(minute=0, second=0, microsecond=0)
+        want[hour] = want.get(hour, 0.0) + r[4]
+    got = {r.timestamp: r.P_basin for r in series.runoff_series(df).collect() if r.P_basin is not None}
+    assert got == want
+    plan = series.station_hours(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_sum") < plan.rindex("Exchange")
