@@ -100,7 +100,7 @@ def main() -> None:
     cut = 473_800
     run("splice", splice(series.filter(f"hour_idx < {cut}"), series.filter(f"hour_idx >= {cut - 72}"), KEYS))
     arriving = gauges.as_text(rows)
-    run("append_readings", append_readings(arriving.limit(50_000), arriving))
+    run("append_readings", append_readings(arriving.filter("fechaobservacion < '2024-01-16'"), arriving))
     run("threshold_sweep", evaluation.threshold_table(
         labelled.filter("split = 'test'"), evaluation.SWEEP, ["proba_modelo", "proba_alerta"], KEYS))
     run("alert_calendar", reporting.calendar(log))

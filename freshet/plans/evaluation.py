@@ -3,7 +3,8 @@
 Every metric is one aggregation with conditional terms: several thresholds, subsets or
 variants are computed side by side in the same pass instead of multiplying the rows.
 Per-series quantiles are window columns, so the dataset is read once; a series has at
-most one row per hour. ``keys`` may be empty for one result over everything.
+most one row per hour. Aggregations take empty ``keys`` for one result over everything;
+window columns do not.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet import schema as S
 from freshet.functions import rules
 
 # Fixed values of the evaluation protocol.
@@ -324,6 +324,3 @@ def importance_by_family(importances: DataFrame) -> DataFrame:
         F.sum(F.when(~calendar, F.col("importance")).otherwise(0.0)).alias("rain"),
         F.sum(F.when(calendar, F.col("importance")).otherwise(0.0)).alias("calendar"),
     ).withColumn("calendar_dominates", F.col("calendar") > F.col("rain"))
-
-
-FEATURE_ORDER = {name: i for i, name in enumerate(S.FEATURES)}
