@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import decontam, linededup, minhash, packing, toxicity
+from freshet.llm import (
+    decontam, hostrules, langid, linededup, minhash, packing, secretscan, tokencounts, toxicity, urlfilters,
+)
 from freshet.llm.common import held_out, table
 from freshet.llm.sql import ORACLES
 
@@ -20,6 +22,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hostrules.judged(table(spark, sf_dir, "documents"), F.col("source"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -35,6 +43,43 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries made from the pages' own hosts: a quarter of the hosts and parents, by md5 of the name.
+
+    Each such key is added on a day of the first half of 2024, removed some weeks later unless its hash says that it
+    stays, and added again after a break in some cases; a few hosts are also on an allow list.
+    """
+    host = urlfilters.host_of(F.col("url"))
+    keys = pages.select(F.explode(urlfilters.keys_of(host)).alias("key")).distinct()
+    digit = lambda at, n: F.conv(F.substring(F.md5("key"), at, n), 16, 10).cast("int")
+    keys = keys.withColumns({"a": digit(1, 2), "b": digit(3, 2), "c": digit(5, 2), "d": digit(7, 1)}).filter("a < 64 OR c < 24")
+    added = F.date_add(F.lit("2024-01-01").cast("date"), F.col("b") % 180)
+    block, allow = (F.col("a") < 64), (F.col("c") < 24)
+
+    def event(when, name, kind, day, action):
+        return F.when(when, F.struct(F.lit(name).alias("list"), F.lit(kind).alias("kind"), day.alias("day"), F.lit(action).alias("action")))
+
+    events = F.array(
+        event(block, "spam", "block", added, "add"),
+        event(block & (F.col("d") < 12), "spam", "block", F.date_add(added, 20 + F.col("c") % 60), "remove"),
+        event(block & (F.col("d") < 6), "spam", "block", F.date_add(added, 100 + F.col("c") % 60), "add"),
+        event(block & (F.col("d") > 8), "malware", "block", F.date_add(added, 10), "add"),
+        event(allow, "trusted", "allow", F.date_add(added, 5), "add"),
+    )
+    return keys.select("key", F.explode(F.array_compact(events)).alias("e")).select("key", "e.*")
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7 % 366).cast("int"))
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", day.alias("fetched"))
+    found = urlfilters.judged(captures, list_entries(pages))
+    return found.select(
+        F.col("capture_id").alias("page_id"), "host", "n_active", "list", "key",
+        F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"), "blocked",
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -48,14 +93,34 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    return tokencounts.section_counts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_dedup, op3_toxicity, op5_decontamination, op6_packing, op8_minhash)
-}
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identified(docs, langid.train(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secretscan.scanned(docs, secretscan.train(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_quality_rules, op2_line_dedup, op3_toxicity, op4_url_filters, op5_decontamination, op6_packing,
+    op7_token_counts, op8_minhash, op9_language, op10_secrets,
+)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,9 +10,9 @@ which keeps the model from fitting away the toxic documents among the unlabelled
 
 Fitting uses a bounded sample: at most ``MAX_POSITIVE`` confirmed and ``MAX_UNLABELLED`` other rows,
 lowest hash of the id first. The unlabelled rows are drawn from the labelled table with their labels hidden, so
-the prior is the share of toxic rows in it. Word counts of the sample are aggregated in Spark; the ``FEATURES``
-words most over-represented among positives are the inputs, so what reaches the driver is bounded by
-rows x features whatever the length of the texts. Scoring covers every document and whole texts.
+the prior is the share of toxic rows in it. Inputs are words and word beginnings, by how many distinct words share
+them; their counts in the sample are aggregated in Spark, and the ``FEATURES`` most over-represented among
+positives are used, so what reaches the driver is bounded by rows x features whatever the length of the texts. Scoring covers every document and whole texts.
 
 Defined results: null and empty texts have no words and get the intercept's score; without any confirmed example
 every score is 0; repeated rows each get their score; the labels table may repeat ids (any 1 confirms).
@@ -35,21 +35,48 @@ FEATURES, MIN_DOCS = 2_048, 4
 STEPS, RATE, L2, L1 = 400, 0.1, 1e-4, 2e-4
 
 WORD = re.compile(r"[^\W\d_]+")
+PREFIXES = (4, 5, 6, 7, 8)
+LEVELS = (1, 2, 4)
+REMEMBERED = 200_000
 
 
 def word_set(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
+def stems(word: str) -> list[str]:
+    """The word and its beginnings: inflected and compound forms share them."""
+    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+
+
+def inputs(text: str | None, known: dict[str, tuple[str, ...]], wanted: dict[str, int] | None = None) -> set[tuple[str, int]]:
+    """Stem and level: the stem begins at least that many distinct words of the text.
+
+    ``known`` remembers the (wanted) stems of words; it is emptied when full.
+    """
+    counts: Counter = Counter()
+    for word in word_set(text):
+        found = known.get(word)
+        if found is None:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            found = tuple(s for s in stems(word) if wanted is None or s in wanted)
+            known[word] = found
+        counts.update(found)
+    return {(s, level) for s, n in counts.items() for level in LEVELS if n >= level}
+
+
 @dataclass(frozen=True)
 class Classifier:
-    weights: dict[str, float]
+    """Weights by (stem, level)."""
+
+    weights: dict[tuple[str, int], float]
     intercept: float
 
-    def score(self, text: str | None) -> float:
-        hit = self.weights.keys() & word_set(text)
-        z = self.intercept + sum(self.weights[w] for w in sorted(hit))
-        return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+    def scores(self, texts: list[str | None], known: dict[str, tuple[str, ...]]) -> list[float]:
+        wanted = {stem: 1 for stem, _ in self.weights}
+        z = [self.intercept + sum(sorted(self.weights.get(i, 0.0) for i in inputs(t, known, wanted))) for t in texts]
+        return (1 / (1 + np.exp(-np.clip(z, -50, 50)))).tolist()
 
 
 def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[DataFrame, float]:
@@ -64,25 +91,27 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int)
     return docs.select("doc_id", "text").join(rows, "doc_id"), toxic / total if total else 0.0
 
 
-def features(rows: DataFrame, n_features: int, min_docs: int) -> list[str]:
-    """Words in the most positive documents beyond their share of the unlabelled ones."""
+def features(rows: DataFrame, n_features: int, min_docs: int) -> list[tuple[str, int]]:
+    """Inputs in the most positive documents beyond their share of the unlabelled ones."""
 
     def count(cols: dict[str, list]) -> dict[str, list]:
         seen: dict[str, Counter] = {"p": Counter(), "u": Counter()}
+        known: dict[str, tuple[str, ...]] = {}
         for kind, text in zip(cols["kind"], cols["text"]):
-            seen[kind].update(word_set(text))
-        words = list(seen["p"].keys() | seen["u"].keys())
-        return {"word": words, "p": [seen["p"][w] for w in words], "u": [seen["u"][w] for w in words]}
+            seen[kind].update(inputs(text, known))
+        keys = list(seen["p"].keys() | seen["u"].keys())
+        return {"word": [k[0] for k in keys], "level": [k[1] for k in keys],
+                "p": [seen["p"][k] for k in keys], "u": [seen["u"][k] for k in keys]}
 
-    counts = map_rows(rows.select("kind", "text"), count, "word string, p bigint, u bigint")
-    counts = counts.groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter(F.col("p") >= min_docs)
+    counts = map_rows(rows.select("kind", "text"), count, "word string, level int, p bigint, u bigint")
+    counts = counts.groupBy("word", "level").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter(F.col("p") >= min_docs)
     sizes = dict(rows.groupBy("kind").count().collect())
     n_p, n_u = sizes.get("p", 0), sizes.get("u", 0)
     # The signed root of the log-likelihood ratio against the unlabelled rate orders by evidence.
     expected = (F.col("u") + 1) * (n_p / (n_u + 2))
     gain = F.col("p") * F.log(F.col("p") / expected) - (F.col("p") - expected)
-    best = counts.filter(F.col("p") > expected).orderBy(gain.desc(), "word").limit(n_features)
-    return [r["word"] for r in best.select("word").collect()]
+    best = counts.filter(F.col("p") > expected).orderBy(gain.desc(), "word", "level").limit(n_features)
+    return [(r["word"], r["level"]) for r in best.select("word", "level").collect()]
 
 
 def fit_nnpu(x_p: list[np.ndarray], x_u: list[np.ndarray], n: int, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
@@ -116,9 +145,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVE, unl
     rows = stored(rows, "training_rows")
     words = features(rows, n_features, min_docs)
     number = {w: i for i, w in enumerate(words)}
+    wanted = {stem: 1 for stem, _ in words}
 
     def mark(cols: dict[str, list]) -> dict[str, list]:
-        hits = [sorted(number[w] for w in number.keys() & word_set(t)) for t in cols["text"]]
+        known: dict[str, tuple[str, ...]] = {}
+        hits = [sorted(number[i] for i in number.keys() & inputs(t, known, wanted)) for t in cols["text"]]
         return {"kind": cols["kind"], "hits": hits}
 
     found = map_rows(rows.select("kind", "text"), mark, "kind string, hits array<int>").toPandas()
@@ -134,8 +165,10 @@ def score(docs: DataFrame, model: Classifier, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs`` with ``toxic_score`` (0 to 1)."""
     schema = docs.select(*columns).schema
 
+    known: dict[str, tuple[str, ...]] = {}  # lives as long as a task
+
     def run(cols: dict[str, list]) -> dict[str, list]:
-        return {c: cols[c] for c in columns} | {"toxic_score": [model.score(t) for t in cols["text"]]}
+        return {c: cols[c] for c in columns} | {"toxic_score": model.scores(cols["text"], known)}
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", toxic_score double"
     return map_rows(docs.select("text", *[c for c in columns if c != "text"]), run, ddl)
