@@ -20,19 +20,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import map_rows, stored
+from freshet.llm.common import map_rows, stored, utf8
 
-MAX_MARKED, MAX_PLAIN = 3_000, 3_000
+MAX_MARKED, MAX_PLAIN = 1_500, 1_500
 AROUND, PLAIN_WORDS = 12, 30
 MIN_CHARS = 8
-STEPS, RATE, L2 = 150, 0.1, 1e-3
-REMEMBERED = 200_000
+STEPS, RATE, L2 = 100, 0.1, 1e-3
+REMEMBERED = 400_000
+MARKS = ".,;!?|#$%&*()[]{}<>"
 EDGES = "\"'`,;:()[]{}<>|#$%&*"
 
 # The base patterns and their least lengths.
@@ -45,7 +47,10 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 HEX_MAP = bytes(49 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
+LETTER_KINDS = bytes(
+    97 if 97 <= i < 123 or i >= 128 else 65 if 65 <= i < 91 else 48 if 48 <= i < 58 else i for i in range(256))
 CUES = ("pass", "secret", "token", "key", "auth", "akia", "credential", "bearer")
+RAW_CUES = [c.encode() for c in CUES]
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -74,37 +79,77 @@ def base_spans(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
     return sorted(spans), sorted(values)
 
 
-def shape(word: str) -> list[int]:
-    """Active features of a word's shape; ``N_SHAPE`` is their number."""
-    n = len(word)
+def simplified(raw: bytes) -> list[bytes]:
+    """The words of a text; ordinary short ones are reduced to letter kinds, so few distinct words remain.
+
+    Words with a digit, long words, and all words of a text that mentions a cue keep their characters.
+    """
+    return read_words(raw, mentions_cue(raw))
+
+
+def mentions_cue(raw: bytes) -> bool:
+    low = raw.lower()
+    return any(c in low for c in RAW_CUES)
+
+
+def read_words(raw: bytes, cued: bool) -> list[bytes]:
+    if cued:
+        return raw.split()
+    return [w if len(c) >= 16 or b"0" in c else c for c, w in zip(raw.translate(LETTER_KINDS).split(), raw.split())]
+
+
+def shape(word: str) -> tuple[int, ...]:
+    """Active features of a word's shape, ``N_SHAPE`` in all."""
+    n, kinds = len(word), len(set(word))
+    low = word.lower()
+    cues = tuple(35 + i for i, c in enumerate(CUES) if c in low)
+    inner = word.strip(MARKS)
+    if inner.isalpha():
+        # Nearly all words: letters with punctuation around, told apart by length, variety and capitals.
+        upper = 0 if word == low else sum(map(str.isupper, word))
+        return _letters(n, kinds, upper, word.isascii(), n >= 8 and not low.strip("abcdef"), inner != word) + cues
     digits = sum(c.isdigit() for c in word)
-    upper = sum(c.isupper() for c in word)
     core = word.strip(EDGES)
-    low = word.lower()
     flags = [
-        True, n >= 4, n >= 8, n >= 12, n >= 16, n >= 20, n >= 24, n >= 32, n >= 48,
-        digits > 0, digits * 4 >= n, digits * 2 >= n, digits == n,
-        upper > 0, upper * 4 >= n, 0 < upper and digits > 0,
-        len(set(word)) >= 8, len(set(word)) >= 12, len(set(word)) * 2 >= n,
+        *_lengths(n), digits > 0, digits * 4 >= n, digits * 2 >= n, digits == n,
+        *_capitals(n, sum(c.isupper() for c in word), digits), *_variety(n, kinds),
         word[:1] in "\"'`", word[-1:] in "\"'`", word[-1:] in "=:", word in ("=", ":", "=>", ":="),
         "=" in word, ":" in word, "/" in word or "+" in word, "@" in word, "." in core, "_" in core, "-" in core,
-        not word.isascii(), bool(core) and all(c in "0123456789abcdef" for c in core) and len(core) >= 8,
+        not word.isascii(), bool(core) and core.strip("0123456789abcdef") == "" and len(core) >= 8,
         bool(core) and core.isalpha(), core != word, core.startswith("AKIA"),
-        *(c in low for c in CUES),
     ]
-    return [i for i, f in enumerate(flags) if f]
+    return tuple(i for i, f in enumerate(flags) if f) + cues
+
+
+def _lengths(n: int) -> list[bool]:
+    return [True, n >= 4, n >= 8, n >= 12, n >= 16, n >= 20, n >= 24, n >= 32, n >= 48]
+
+
+def _capitals(n: int, upper: int, digits: int) -> list[bool]:
+    return [upper > 0, upper * 4 >= n, upper > 0 and digits > 0]
+
+
+def _variety(n: int, kinds: int) -> list[bool]:
+    return [kinds >= 8, kinds >= 12, kinds * 2 >= n]
+
+
+@lru_cache(maxsize=100_000)
+def _letters(n: int, kinds: int, upper: int, ascii_only: bool, hex_only: bool, marked: bool) -> tuple[int, ...]:
+    flags = [*_lengths(n), *[False] * 4, *_capitals(n, upper, 0), *_variety(n, kinds), *[False] * 11,
+             not ascii_only, hex_only, True, marked, False]
+    return tuple(i for i, f in enumerate(flags) if f)
 
 
 N_SHAPE = 35 + len(CUES)
 N_FILE = 6
 
 
-def file_features(lines: list[str], text: str) -> np.ndarray:
+def file_features(raw: bytes) -> list[float]:
     """Shares of lines that assign something and of digits, in steps."""
-    assigning = sum("=" in x or ":" in x for x in lines) / max(len(lines), 1)
-    raw = text.encode("utf-8", "surrogatepass")
-    digits = (len(raw) - len(raw.translate(None, b"0123456789"))) / max(len(text), 1)
-    return np.array([assigning > 0, assigning > 0.1, assigning > 0.5, digits > 0.01, digits > 0.05, digits > 0.2], float)
+    lines = raw.count(b"\n") + 1
+    assigning = sum(b"=" in x or b":" in x for x in raw.split(b"\n")) / lines if b"=" in raw or b":" in raw else 0.0
+    digits = (len(raw) - len(raw.translate(None, b"0123456789"))) / max(len(raw), 1)
+    return [float(x) for x in (assigning > 0, assigning > 0.1, assigning > 0.5, digits > 0.01, digits > 0.05, digits > 0.2)]
 
 
 @dataclass
@@ -133,7 +178,7 @@ class Batch:
 
     sizes: np.ndarray
     starts: np.ndarray
-    words: np.ndarray  # row of each token's word in the shape table
+    words: np.ndarray  # row of each token's shape in the shape table
     files: np.ndarray  # file features of each line
 
     def active(self) -> Iterable[tuple[int, int]]:
@@ -143,7 +188,7 @@ class Batch:
             yield from enumerate(counts.tolist())
 
 
-def batch_of(lines: list[list[int]], files: list[np.ndarray]) -> tuple[Batch, np.ndarray]:
+def batch_of(lines: list[list[int]], files: list) -> tuple[Batch, np.ndarray]:
     """The batch and the original number of each of its lines."""
     sizes = np.array([len(x) for x in lines], np.int64)
     by = np.argsort(-sizes, kind="stable")
@@ -211,14 +256,23 @@ def likelihood(e: np.ndarray, moves: np.ndarray, b: Batch) -> tuple[np.ndarray,
     return np.exp(norm(alpha + beta)), expected
 
 
+def shape_rows(shapes: list[tuple[int, ...]]) -> np.ndarray:
+    out = np.zeros((len(shapes), N_SHAPE))
+    for i, active in enumerate(shapes):
+        out[i, list(active)] = 1
+    return out
+
+
+def summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(rows, values[:, j], n) for j in range(values.shape[1])], axis=1)
+
+
 def fit(rows: list[tuple[list[str], list[int], list[float]]], steps: int = STEPS) -> Field:
     """Field from (words, states, file features) lines; states: 0 outside, 1 begin, 2 inside."""
-    number: dict[str, int] = {}
-    lines = [[number.setdefault(w, len(number)) for w in words] for words, _, _ in rows]
-    b, by = batch_of(lines, [np.array(f) for _, _, f in rows])
-    shapes = np.zeros((len(number), N_SHAPE))
-    for w, i in number.items():
-        shapes[i, shape(w)] = 1
+    number: dict[tuple[int, ...], int] = {}
+    lines = [[number.setdefault(shape(w), len(number)) for w in words] for words, _, _ in rows]
+    b, by = batch_of(lines, [f for _, _, f in rows])
+    shapes = shape_rows(list(number))
     gold = np.fromiter(chain.from_iterable(rows[i][1] for i in by), np.int64, len(b.words))
     inner = np.ones(len(gold), bool)
     inner[b.starts[b.sizes > 0]] = False
@@ -234,13 +288,12 @@ def fit(rows: list[tuple[list[str], list[int], list[float]]], steps: int = STEPS
         posterior, expected = likelihood(e, f.moves, b)
         miss = posterior
         miss[np.arange(len(gold)), gold] -= 1
-        summed = [np.zeros((len(number), 3)) for _ in range(3)]
-        np.add.at(summed[0], b.words, miss)
-        np.add.at(summed[1], b.words[:-1][inner[1:]], miss[1:][inner[1:]])
-        np.add.at(summed[2], b.words[1:][inner[1:]], miss[:-1][inner[1:]])
-        by_line = np.zeros((len(b.sizes), 3))
-        np.add.at(by_line, line_of, miss)
-        grads = [*(shapes.T @ s for s in summed), b.files.T @ by_line, expected - moved, miss[b.starts[b.sizes > 0]].sum(axis=0)]
+        per_shape = (
+            summed(b.words, miss, len(number)), summed(b.words[:-1][inner[1:]], miss[1:][inner[1:]], len(number)),
+            summed(b.words[1:][inner[1:]], miss[:-1][inner[1:]], len(number)),
+        )
+        by_line = summed(line_of, miss, len(b.sizes))
+        grads = [*(shapes.T @ x for x in per_shape), b.files.T @ by_line, expected - moved, miss[b.starts[b.sizes > 0]].sum(axis=0)]
         for p, g, m, v in zip(f.parts(), grads, first, second):
             g = g / n + L2 * p
             m += 0.1 * (g - m)
@@ -250,95 +303,115 @@ def fit(rows: list[tuple[list[str], list[int], list[float]]], steps: int = STEPS
 
 
 class Scanner:
-    """Decodes slices of texts; remembers the scores of words (bounded)."""
+    """Decodes slices of texts; remembers the shapes of words (bounded)."""
 
     def __init__(self, f: Field | None):
-        self.field, self.number, self.rows = f, {}, []
-        self.tables: tuple[np.ndarray, ...] | None = None
-
-    def ids(self, lines: list[list[str]]) -> list[list[int]]:
-        new = set(chain.from_iterable(lines)) - self.number.keys()
-        if len(self.number) + len(new) > REMEMBERED:
-            self.number, self.tables = {}, None
-            new = set(chain.from_iterable(lines))
-        if new:
-            shapes = np.zeros((len(new), N_SHAPE))
-            for i, w in enumerate(new):
-                shapes[i, shape(w)] = 1
-                self.number[w] = len(self.number)
-            made = tuple(shapes @ m for m in (self.field.own, self.field.before, self.field.after))
-            self.tables = made if self.tables is None else tuple(np.concatenate(x) for x in zip(self.tables, made))
-        return [[self.number[w] for w in ws] for ws in lines]
+        self.field = f
+        self.rows: dict[bytes, int] = {}  # word to shape row
+        self.shapes: dict[tuple[int, ...], int] = {}
+        self.tables = (np.zeros((0, 3)),) * 3
+
+    def shape_ids(self, words: list[bytes]) -> np.ndarray:
+        new = set(words) - self.rows.keys()
+        if len(self.rows) + len(new) > REMEMBERED:
+            self.rows = {}
+            new = set(words)
+        known = len(self.shapes)
+        for w in new:
+            self.rows[w] = self.shapes.setdefault(shape(w.decode("utf-8", "replace")), len(self.shapes))
+        made = shape_rows(list(self.shapes)[known:])
+        weights = (self.field.own, self.field.before, self.field.after)
+        self.tables = tuple(np.concatenate([t, made @ m]) for t, m in zip(self.tables, weights))
+        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+
+    def hopeful(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, files: np.ndarray) -> np.ndarray:
+        """Lines in which some word could leave the outside state on a best path (an upper bound per word).
+
+        A stretch of n words in other states changes at most n + 1 moves, so at most two per word.
+        """
+        gain = [np.maximum(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]) for t in (*self.tables, self.field.file)]
+        by_file = (files @ (self.field.file[:, 1:] - self.field.file[:, :1])).max(axis=1)
+        bound = gain[0][ids]
+        bound[1:] += np.maximum(gain[1][ids[:-1]], 0)
+        bound[:-1] += np.maximum(gain[2][ids[1:]], 0)
+        start = max(0.0, float((self.field.start[1:] - self.field.start[0]).max()))
+        bound += np.repeat(by_file, sizes) + 2 * max(0.0, float((self.field.moves - self.field.moves[0, 0]).max())) + start
+        out = np.zeros(len(sizes), bool)
+        some = sizes > 0
+        if some.any():
+            out[some] = np.maximum.reduceat(bound, starts[some]) >= 0
+        return out
 
     def extra(self, texts: list[str], based: list[list[Span]]) -> list[list[Span]]:
         """Spans of kind crf of every text, apart from the pattern matches."""
         out: list[list[Span]] = [[] for _ in texts]
         if self.field is None:
             return out
-        split = [t.split("\n") for t in texts]
-        files = [file_features(ls, t) for ls, t in zip(split, texts)]
-        flat, owner = [ls for d in split for ls in d], np.repeat(np.arange(len(texts)), [len(d) for d in split])
-        words = [x.split() for x in flat]
-        if not any(words):
-            return out
-        b, by = batch_of(self.ids(words), [files[o] for o in owner])
+        raws = [utf8(t) for t in texts]
+        lines = [r.split(b"\n") for r in raws]
+        sizes = np.fromiter((len(x.split()) for d in lines for x in d), np.int64, sum(map(len, lines)))
+        owner = np.repeat(np.arange(len(texts)), [len(d) for d in lines])
+        ids = self.shape_ids(list(chain.from_iterable(map(simplified, raws))))
+        starts = np.cumsum(sizes) - sizes
+        files = np.array([file_features(r) for r in raws]).reshape(len(raws), N_FILE)
+        chosen = np.flatnonzero(self.hopeful(ids, starts, sizes, files[owner]))
+        b, by = batch_of([ids[starts[i] : starts[i] + sizes[i]].tolist() for i in chosen], [files[owner[i]] for i in chosen])
         tags = viterbi(emissions(self.tables, self.field, b), self.field.moves, b)
-        offsets = np.concatenate([np.cumsum([0, *(len(x) + 1 for x in d[:-1])]) for d in split])
-        hot = np.unique(np.searchsorted(b.starts + b.sizes, np.flatnonzero(tags), side="right"))
-        for r in hot:
-            i, states = by[r], tags[b.starts[r] : b.starts[r] + b.sizes[r]]
-            for a, z in tagged(flat[i], words[i], states):
-                a, z = a + int(offsets[i]), z + int(offsets[i])
-                if not any(s < z and a < e for s, _, e in based[owner[i]]):
-                    out[owner[i]].append((a, 3, z))
+        flat = [x for d in lines for x in d]
+        offsets = np.concatenate([np.cumsum([0, *(len(x) + 1 for x in d[:-1])]) for d in lines]) if lines else []
+        for r in np.unique(np.searchsorted(b.starts + b.sizes, np.flatnonzero(tags), side="right")):
+            i = chosen[by[r]]
+            o = owner[i]
+            for a, z in tagged(flat[i], tags[b.starts[r] : b.starts[r] + b.sizes[r]]):
+                a, z = (len(raws[o][: x + int(offsets[i])].decode("utf-8", "surrogatepass")) for x in (a, z))
+                if not any(s < z and a < e for s, _, e in based[o]):
+                    out[o].append((a, 3, z))
         return [sorted(x) for x in out]
 
 
-def tagged(line: str, words: list[str], states: np.ndarray) -> list[tuple[int, int]]:
+def places(line: bytes) -> list[tuple[int, int]]:
+    return [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", line)]
+
+
+def tagged(line: bytes, states: np.ndarray) -> list[tuple[int, int]]:
     """Trimmed stretches of begin and inside words; an inside word after an outside one begins a stretch."""
-    places, at = [], 0
-    for w in words:
-        at = line.index(w, at)
-        places.append((at, at + len(w)))
-        at += len(w)
     runs: list[list[int]] = []
-    for (a, z), s, prior in zip(places, states, [0, *states[:-1]]):
+    for (a, z), s, prior in zip(places(line), states, [0, *states[:-1]]):
         if s == 2 and prior != 0:
             runs[-1][1] = z
         elif s:
             runs.append([a, z])
     out = []
+    edges = EDGES.encode()
     for a, z in runs:
         part = line[a:z]
-        left = len(part) - len(part.lstrip(EDGES))
-        core = part.strip(EDGES)
+        core = part.strip(edges)
         if len(core) >= MIN_CHARS:
+            left = len(part) - len(part.lstrip(edges))
             out.append((a + left, a + left + len(core)))
     return out
 
 
-def windows_of(text: str, doc_hash: int) -> tuple[bool, list[tuple[list[str], list[int]]]]:
+def windows_of(text: str, doc_hash: int) -> tuple[bool, list[tuple[list[bytes], list[int]]]]:
     """Training windows of one text: around its matches, or one plain stretch chosen by the document's hash."""
+    raw = utf8(text)
     _, values = base_spans(text)
+    lines, cued = raw.split(b"\n"), mentions_cue(raw)
     if not values:
-        lines = [x for x in (ls.split() for ls in text.split("\n")) if x]
-        if not lines:
-            return False, []
-        words = lines[doc_hash % len(lines)]
-        return False, [(words[:PLAIN_WORDS], [0] * len(words[:PLAIN_WORDS]))]
+        full = [x for x in lines[doc_hash % len(lines) :] + lines if x.strip()][:1]
+        part = read_words(full[0], cued)[:PLAIN_WORDS] if full else []
+        return False, [(part, [0] * len(part))] if part else []
+    inside = [tuple(len(utf8(text[:x])) for x in v) for v in values]
     out, start = [], 0
-    for line in text.split("\n"):
-        inside = [(a - start, z - start) for a, z in values if a < start + len(line) and z > start]
-        if inside:
-            words, states, at = line.split(), [], 0
-            for w in words:
-                at = line.index(w, at)
-                hit = next((a for a, z in inside if a < at + len(w) and z > at), None)
-                states.append(0 if hit is None else 1 if hit >= at or not states or not states[-1] else 2)
-                at += len(w)
+    for line in lines:
+        if any(a < start + len(line) and z > start for a, z in inside):
+            states: list[int] = []
+            for p, q in places(line):
+                hit = next((a for a, z in inside if a < start + q and z > start + p), None)
+                states.append(0 if hit is None else 1 if hit >= start + p or not states or not states[-1] else 2)
             on = np.flatnonzero(states)
             lo, hi = max(0, on[0] - AROUND), on[0] + AROUND + 1
-            out.append((words[lo:hi], states[lo:hi]))
+            out.append((read_words(line, cued)[lo:hi], states[lo:hi]))
         start += len(line) + 1
     return True, out
 
@@ -348,11 +421,11 @@ def train(docs: DataFrame, marked: int = MAX_MARKED, plain: int = MAX_PLAIN) ->
         out: dict[str, list] = {"marked": [], "hash": [], "words": [], "states": [], "file": []}
         for h, text in zip(cols["hash"], cols["text"]):
             some, found = windows_of(text or "", h % (1 << 31))
-            file = file_features((text or "").split("\n"), text or "").tolist() if found else []
+            file = file_features(utf8(text)) if found else []
             for words, states in found[:1]:
                 out["marked"].append(some)
                 out["hash"].append(h)
-                out["words"].append(words)
+                out["words"].append([w.decode("utf-8", "replace") for w in words])
                 out["states"].append(states)
                 out["file"].append(file)
         return out

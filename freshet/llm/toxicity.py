@@ -37,7 +37,7 @@ STEPS, RATE, L2, L1 = 400, 0.1, 1e-4, 2e-4
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7, 8)
 LEVELS = (1, 2, 4)
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 
 
 def word_set(text: str | None) -> set[str]:
