@@ -7,9 +7,8 @@ next round, where ``FAN_IN`` groups meet, until one group is left. Only (id, len
 A group passes on at most ``CARRY`` bins, its emptiest; the others are finished as they are, so every
 task has a bound whatever the input and no piece is ever left out.
 
-Token ids come from the tokenizer itself. Its pre-tokens never span blanks, so each distinct word is
-encoded once per worker process and then looked up (the cache is bounded); texts with separators that
-Python and the tokenizer see differently are encoded whole.
+Token ids come from the tokenizer itself. It encodes each pre-token on its own, so for Latin-1 texts distinct pre-tokens
+are encoded once per worker process and then looked up (the cache is bounded); other texts are encoded whole.
 
 Defined results: null text is empty, hence one piece holding only the end id; repeated rows are packed
 separately, each on its own; other columns are ignored.
@@ -17,6 +16,7 @@ separately, each on its own; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from itertools import chain
 
@@ -30,14 +30,20 @@ from freshet.llm.common import map_rows, ship, stored
 CAPACITY, END_ID = 4096, 1
 GROUP, FAN_IN, CARRY = 40_000, 8, 4_000
 SLACK = 16  # a bin with no more room than this is finished
-CACHE = 300_000
-WORD_CHARS = 64  # longer words are encoded but not remembered
+CACHE = 600_000
+# Fixed value: the tokenizer file's own pattern, its character classes spelled out for lower-case Latin-1.
+PRE_TOKEN = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+    r"|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of whole texts from a ``tokenizers`` file whose pre-tokens end at blanks and carry a word end."""
+    """Ids of whole texts from a ``tokenizers`` file whose pre-tokens carry a word end.
+
+    Known pre-tokens are rows of a table: where their ids start in ``flat``, and how many there are.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,45 +52,61 @@ class WordEncoder:
         vocab = self.model.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.rows: dict[str, int] = {}
+        self.flat = np.zeros(0, np.uint32)
+        self.starts = self.sizes = np.zeros(0, np.int64)
 
     def whole(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
-    def learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """Words not seen before. Plain letters are encoded together: every word ends in an end token."""
-        out: dict[str, tuple[int, ...]] = {}
-        plain = [w for w in words if w.isascii() and w.isalpha()]
-        for start in range(0, len(plain), 2000):
-            part = plain[start : start + 2000]
-            ids = self.whole(" ".join(part))
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+    def learn(self, new: list[str]) -> None:
+        """Add pre-tokens. Runs of letters are encoded together: each ends in an end token."""
+        letters, other = [p for p in new if p.isalpha()], [p for p in new if not p.isalpha()]
+        ids: list[list[int]] = []
+        for start in range(0, len(letters), 2000):
+            part = letters[start : start + 2000]
+            found = self.whole(" ".join(part))
+            cuts = (np.flatnonzero(self.ends[found]) + 1).tolist()
             assert len(cuts) == len(part)
-            for w, a, b in zip(part, [0, *cuts], cuts):
-                out[w] = tuple(ids[a:b])
-        rest = list(words - out.keys())
-        for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False)):
-            out[w] = tuple(e.ids)
-        return out
+            ids.extend(found[a:b] for a, b in zip([0, *cuts], cuts))
+        ids.extend(self.whole(p) for p in other)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.rows.update(zip(letters + other, range(len(self.rows), len(self.rows) + len(new))))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+
+    def forget(self, new: list[str], kept: int) -> None:
+        for p in new:
+            del self.rows[p]
+        self.starts, self.sizes = self.starts[:kept], self.sizes[:kept]
+        self.flat = self.flat[: int(self.sizes.sum())]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        new = set(chain.from_iterable(s for s in split if s)) - self.known.keys()
-        fresh = self.learn(new)
-        lookup = self.known
-        if len(lookup) + len(fresh) > CACHE:
-            # Keep what this slice needs and drop the rest: memory stays bounded, results are the same.
-            needed = set(chain.from_iterable(s for s in split if s))
-            lookup = {w: self.known[w] for w in needed & self.known.keys()}
-            self.known = {}
-        lookup = lookup | fresh if lookup is not self.known else (lookup.update(fresh) or lookup)
-        out = []
-        for text, ws in zip(texts, split):
-            ids = self.whole(text) if ws is None else list(chain.from_iterable([lookup[w] for w in ws]))
-            out.append(np.array(ids, np.uint32))
-        if lookup is not self.known:
-            self.known = {w: i for w, i in lookup.items() if len(w) <= WORD_CHARS} if len(lookup) <= CACHE else {}
-        return out
+        split = [pre_tokens(t) for t in texts]
+        every = list(chain.from_iterable(s for s in split if s))
+        kept, new = len(self.rows), list(set(every) - self.rows.keys())
+        self.learn(new)
+        rows = np.fromiter(map(self.rows.__getitem__, every), np.int64, len(every))
+        sizes = self.sizes[rows]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(sizes.sum())]
+        bounds = np.concatenate([[0], ends])[np.cumsum([0, *(len(s or ()) for s in split)])]
+        if len(self.rows) > CACHE:  # the first ones stay; frequent pre-tokens come early
+            self.forget(new, kept)
+        return [
+            np.array(self.whole(t), np.uint32) if s is None else ids[a:z]
+            for t, s, a, z in zip(texts, split, bounds, bounds[1:])
+        ]
+
+
+def pre_tokens(text: str) -> list[str] | None:
+    """The pre-tokens of a Latin-1 text; None for other texts and those that may hold a special token."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return None if "<|" in text else PRE_TOKEN.findall(text.lower())
 
 
 def encoder(path: str) -> WordEncoder:
