@@ -236,19 +236,21 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, size: int = S
 
     heads = bucket_members(classes).groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("members"))
     heads = stored(heads.filter("members > 1"), "buckets")
-    pairs = bucket_members(classes).join(heads, "key").filter("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct()
+    # Members of shared buckets, few of all: found once, by a merge join at every size.
+    crowded = stored(bucket_members(classes).hint("merge").join(heads, "key"), "bucket_members")
+    pairs = crowded.filter("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct()
     near = with_sketch(with_sketch(pairs, sketch, "a"), sketch, "b").filter(may_link(similarity)).select("a", "b")
     near = stored(near, "near_pairs")
     # The texts of all documents that share a bucket with another move once; joins of texts are merges at every
     # size, so what is shuffled grows as the input does.
-    shared = bucket_members(classes).join(heads, "key", "left_semi").select("doc_id").distinct()
+    shared = crowded.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").hint("merge").join(shared, "doc_id", "left_semi")
     texts = stored(texts, "texts")
     links = stored(confirmed(near, texts, similarity, size), "confirmed")
     groups = stored(components(links), "components")
 
     # A bucket of two was settled by its one pair; others may hold links between members.
-    large = bucket_members(classes).join(heads.filter("members > 2"), "key")
+    large = crowded.filter("members > 2")
     labelled = large.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "key", "doc_id", F.coalesce("component", "doc_id").alias("component"),
         F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"),
