@@ -42,6 +42,17 @@ def fingerprint(*cols: str) -> list[Column]:
     return [F.xxhash64(*cols).alias("_r1"), F.xxhash64(F.lit(7), *cols).alias("_r2")]
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """The whole row as one column ``row`` beside its fingerprint: no input name can clash with a working one."""
+    prints = fingerprint("doc_id", "text")
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *prints)
+
+
+def unpacked(df: DataFrame, columns: list[str], results: list[str]) -> DataFrame:
+    """The carried columns and the results; an input column with the name of a result is replaced by it."""
+    return df.select(*[F.col("row")[c].alias(c) for c in columns if c not in results], *results)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """The fixed test fold: crc32 of the id as text, modulo 5, is 0. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

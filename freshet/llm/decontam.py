@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import fingerprint, lower_ascii, stored
+from freshet.llm.common import carried, lower_ascii, stored, unpacked
 
 WINDOW, SHINGLE = 13, 5
 BROADCAST_ROWS = 2_000_000
@@ -97,12 +97,12 @@ def covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, size: int = SHINGLE,
                   percent: int = 5) -> DataFrame:
     """All columns of ``docs`` plus n_words, n_hit, items (sorted ids with occurring windows), contaminated."""
-    keyed = docs.select("*", *fingerprint("doc_id", "text"))
+    keyed = carried(docs)
     found, owners = (stored(t, label) for t, label in zip(windows(benchmark, window), ("windows", "window_items")))
     grams = stored(window_shingles(found, size), "window_shingles")
     wanted = stored(grams.select("sh").distinct(), "shingles")
     sizes = sorted(r[0] for r in grams.select("k").distinct().collect())  # at most ``size`` numbers
-    texts = keyed.select("_r1", "_r2", "text")
+    texts = keyed.select("_r1", "_r2", F.col("row.text").alias("text"))
     if sizes:
         hits = stored(occurrences(texts, wanted, sizes, wanted.count()), "occurrences")
     else:
@@ -131,10 +131,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     )
     verdict = spans.select("_r1", "_r2", covered(F.col("spans")).alias("n_hit")).join(items, ["_r1", "_r2"])
     verdict = stored(verdict, "verdicts")
-    out = keyed.join(verdict, ["_r1", "_r2"], "left").withColumns({
-        "n_words": F.size(words(F.col("text"))).cast("long"),
-        "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"),
-        "items": F.coalesce("items", F.array().cast("array<string>")),
-    })
+    out = keyed.join(verdict, ["_r1", "_r2"], "left").select(
+        "row", F.size(words(F.col("row.text"))).cast("long").alias("n_words"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+    )
     bad = (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))
-    return out.withColumn("contaminated", bad).select(*docs.columns, "n_words", "n_hit", "items", "contaminated")
+    return unpacked(out.withColumn("contaminated", bad), docs.columns, ["n_words", "n_hit", "items", "contaminated"])

@@ -8,7 +8,8 @@ aggregates, and the join with it has an exchange on either side, so a skewed key
 
 Defined results: null or empty text is one empty line; rows sharing a ``doc_id`` count as one document
 for the threshold and keep their own text; a null ``doc_id`` counts as one document below every other
-(its lines are never the kept ones unless no id holds the line); other columns pass through untouched.
+(its lines are never the kept ones unless no id holds the line); other columns pass through untouched, but for
+``n_lines`` and ``n_dropped``, which are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import fingerprint, lower_ascii, stored
+from freshet.llm.common import carried, fingerprint, lower_ascii, stored, unpacked
 
 MIN_CHARS, MIN_DOCS = 20, 3
 STRIPPED = " \t\n\x0b\f\r"
@@ -65,12 +66,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     frequent = stored(frequent_lines(lines, min_docs), "frequent_lines")
     hits = lines.join(frequent, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     drops = hits.groupBy("_r1", "_r2").agg(F.sort_array(F.collect_set("pos")).alias("_dropped"))
-    keyed = docs.select("*", *fingerprint("doc_id", "text"))
-    joined = keyed.join(drops, ["_r1", "_r2"], "left").drop("_r1", "_r2")
-    split = split_lines(F.col("text"))
+    joined = carried(docs).join(drops, ["_r1", "_r2"], "left")
+    text = F.col("row.text")
+    split = split_lines(text)
     kept = F.concat_ws("\n", without_positions(split, F.col("_dropped")))
-    return joined.withColumns({
-        "n_lines": F.size(split).cast("long"),
-        "n_dropped": F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("long"),
-        "text": F.when(F.col("_dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept),
-    }).select(*docs.columns, "n_lines", "n_dropped")
+    out = joined.select(
+        "row", F.size(split).cast("long").alias("n_lines"),
+        F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("long").alias("n_dropped"),
+        F.when(F.col("_dropped").isNull(), F.coalesce(text, F.lit(""))).otherwise(kept).alias("text"),
+    )
+    return unpacked(out, docs.columns, ["text", "n_lines", "n_dropped"])

@@ -162,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVE, unl
 
 
 def score(docs: DataFrame, model: Classifier, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` with ``toxic_score`` (0 to 1)."""
+    """``columns`` of ``docs`` with ``toxic_score`` (0 to 1), which replaces an input column of that name."""
+    columns = [c for c in columns if c != "toxic_score"]
     schema = docs.select(*columns).schema
 
     known: dict[str, tuple[str, ...]] = {}  # lives as long as a task
