@@ -87,8 +87,16 @@ def with_class_weights(df: DataFrame, keys: list[str], label: str = "label") ->
 def with_sample_weights(df: DataFrame, target: str, keys: list[str]) -> DataFrame:
     """Weights 1 + 20 y / max(y) of the train rows, and the change from the current value.
 
-    Series whose largest train target is not positive have no weights (NULL).
+    Per series, those whose largest train target is not positive have no weights (NULL). Without keys the
+    largest train target of all rows counts, every row has a weight, and a largest target that is not
+    positive is an error.
     """
+    if not keys:
+        largest = df.filter("split = 'train'").agg(F.max(target)).first()[0]
+        if largest is None or largest <= 0:
+            raise ValueError(f"no positive {target} among the train rows")
+        weight = 1 + F.col(target) / F.lit(largest) * EVENT_WEIGHT
+        return df.withColumns({"sample_weight": weight, "delta": F.col(target) - F.col("Q_actual")})
     top = F.max(F.when(F.col("split") == "train", F.col(target))).over(_group(keys))
     weight = F.when(top > 0, 1 + F.col(target) / top * EVENT_WEIGHT)
     return df.withColumns({"sample_weight": weight, "delta": F.col(target) - F.col("Q_actual")})
@@ -276,7 +284,7 @@ def regression_report(
 ) -> DataFrame:
     """Metrics of model and baseline on the test rows: all, events, and strong events.
 
-    Needs ``p75_train`` on the rows (``with_label(..., p=0.75)`` or a window column).
+    Needs ``p75_train`` on the rows (a window of ``train_quantile(target, 0.75)``).
     Gains are positive when the model is better; ``beats`` wants all three. Subsets
     without rows have NULL metrics.
     """

@@ -61,8 +61,9 @@ def missing_days(log: DataFrame, days: int = 90, keys: list[str] = KEYS) -> Data
 
 def trailing_rain(series: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Rain of the last 24 h, 7 d and 30 d, counted back from the last hour, ends included."""
-    last = F.max("hour_idx").over(Window.partitionBy(*keys))
-    back = series.withColumn("_ago", last - F.col("hour_idx"))
+    # The last hours are a partial maximum; only the rows of the last 30 days are summed.
+    last = series.groupBy(*keys).agg(F.max("hour_idx").alias("_last"))
+    back = series.join(last, keys).withColumn("_ago", F.col("_last") - F.col("hour_idx")).filter(f"_ago <= {30 * 24}")
 
     def total(hours: int):
         return F.coalesce(F.sum(F.when(F.col("_ago") <= hours, F.col("P_basin"))), F.lit(0.0))
@@ -75,8 +76,8 @@ def trailing_rain(series: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def alert_days(log: DataFrame, days: int = 30, keys: list[str] = KEYS) -> DataFrame:
     """Distinct dates in alert within ``days`` of the log's last hour."""
-    last = F.max("timestamp").over(Window.partitionBy(*keys))
-    recent = log.withColumn("_last", last).filter(
+    last = log.groupBy(*keys).agg(F.max("timestamp").alias("_last"))
+    recent = log.join(last, keys).filter(
         F.col("timestamp") >= F.col("_last") - F.make_dt_interval(F.lit(days))
     )
     alert = F.when(F.col("estado") == rules.STATES[2], F.col("timestamp").cast("date"))

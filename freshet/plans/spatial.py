@@ -39,7 +39,12 @@ def route_points(points: DataFrame, n: int, route: str = "route", order: str = "
     first = F.row_number().over(whole.orderBy(order)) == 1
     last = F.row_number().over(whole.orderBy(F.desc(order))) == 1
     s = s.select("*", first.alias("_first"), last.alias("_last"))
-    index = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # Positions around the stretch, one to spare on either side; the exact test follows.
+    per_km = F.lit(float(max(n - 1, 1))) / F.col("_total")
+    low = F.when(F.col("_first") | ~(F.col("_total") > 0), 0).otherwise(F.floor(F.col("km_start") * per_km) - 1)
+    high = F.when(F.col("_last") | ~(F.col("_total") > 0), n - 1).otherwise(F.ceil(F.col("km_end") * per_km) + 1)
+    within = F.sequence(F.greatest(F.lit(0), low.cast("int")), F.least(F.lit(n - 1), high.cast("int")))
+    index = F.explode(within)
     p = s.select("*", index.alias("i")).withColumn(
         "pos", F.col("_total") * F.col("i") / F.lit(float(max(n - 1, 1)))
     )

@@ -15,8 +15,11 @@ from freshet import schema as S
 
 TREES = 200
 SEED = 42
-# Trees are grown level by level on binned features; the depth bounds a tree's size.
+# Trees are grown level by level on binned features; the depth bounds a tree's size. The library's
+# limit is 30, where a level may hold a node per row; 10 keeps at most 1,024 leaves a tree.
 MAX_DEPTH = 10
+# Partitions of the training rows: part of what a seed means. Raise it for larger training tables.
+PARTITIONS = 64
 FOREST = {"numTrees": TREES, "seed": SEED, "maxDepth": MAX_DEPTH}
 # Node ids are kept with the rows instead of walking every tree for every row and level,
 # and more memory for node statistics means fewer passes over the data.
@@ -27,10 +30,15 @@ def _assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=list(S.FEATURES), outputCol="features")
 
 
-def _spread(train: DataFrame) -> DataFrame:
-    """At least one partition per core; a table with enough files is left as it is."""
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    return train.repartition(cores) if train.rdd.getNumPartitions() < cores else train
+def _spread(train: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
+    """Rows dealt by a hash of their key into a fixed number of ordered partitions.
+
+    Bags are drawn per partition, so the same rows and seed give the same forest on any cluster
+    and for any layout of the input.
+    """
+    key = [c for c in ("basin", "hour_idx") if c in train.columns]
+    order = key or list(S.FEATURES)
+    return train.repartition(partitions, F.xxhash64(*order)).sortWithinPartitions(*order)
 
 
 def fit_regressor(train: DataFrame, target: str, weight: str | None = None, **params) -> PipelineModel:

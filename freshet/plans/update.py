@@ -44,19 +44,48 @@ def _from_hour(df: DataFrame, hour: int) -> DataFrame:
 def new_readings(
     spark: SparkSession, batch: DataFrame, root: str, now: str | None = None, late_hours: int = 0
 ) -> DataFrame:
-    """Batch rows between each station's high-water mark (less ``late_hours``) and now."""
+    """Batch rows up to now. All are stored; ``in_slice`` marks those that are recomputed at once.
+
+    These are the rows from each station's high-water mark, less ``late_hours``, on. Older ones wait for a rebuild.
+    """
     until = F.lit(now).cast("timestamp_ntz") if now else local_now()
+    due = batch.filter(F.col("ts") <= until)
     stored = read_or_none(spark, f"{root}/readings", S.READINGS_TABLE)
     if stored is None:
-        return batch.filter(F.col("ts") <= until)
+        return due.withColumn("in_slice", F.lit(True))
     series = read_or_none(spark, f"{root}/series", S.SERIES_TABLE)
     none = spark.createDataFrame([], "basin string, hour_idx bigint")
     ends = none if series is None else series.groupBy("basin").agg(F.max("hour_idx").alias("hour_idx"))
     stations = batch.select("basin", "station_id").distinct()
     marks = high_water_marks(stations, stored, ends, default="1970-01-01 00:00:00")
-    due = batch.join(marks, ["basin", "station_id"])
     start = F.col("since") - F.make_dt_interval(F.lit(0), F.lit(late_hours))
-    return due.filter(F.col("ts").between(start, until)).drop("since")
+    return due.join(marks, ["basin", "station_id"]).withColumn("in_slice", F.col("ts") >= start).drop("since")
+
+
+def _first_hour(spark: SparkSession, due: DataFrame, root: str) -> int | None:
+    """The hour from which the series is to be rebuilt: the oldest of
+
+    the readings to recompute, the hours a failed run left behind, and the hour after the last stored one
+    of each basin with new readings (so that a silence is filled as in a full build).
+    """
+    fresh = due.filter("in_slice")
+    hours = [fresh.agg(F.min(hour_index(F.col("ts")))).first()[0]]
+    left = read_or_none(spark, f"{root}/pending", "hour_idx bigint")
+    if left is not None:
+        hours.append(left.agg(F.min("hour_idx")).first()[0])
+    series = read_or_none(spark, f"{root}/series", S.SERIES_TABLE)
+    if series is not None:
+        touched = fresh.select("basin").distinct()
+        ends = series.groupBy("basin").agg(F.max("hour_idx").alias("end")).join(touched, "basin", "left_semi")
+        last = ends.agg(F.min("end")).first()[0]
+        hours.append(None if last is None else last + 1)
+    known = [h for h in hours if h is not None]
+    return min(known) if known else None
+
+
+def _pending(spark: SparkSession, root: str, hour: int | None) -> None:
+    """Note the first hour that stored readings are ahead of the published tables; None when they agree."""
+    write_table(spark.createDataFrame([(hour,)], "hour_idx bigint"), f"{root}/pending")
 
 
 def live_update(
@@ -71,22 +100,28 @@ def live_update(
 ) -> DataFrame:
     """Apply a batch of readings (basin, station_id, sensor_id, ts, mm, arrival).
 
-    ``now`` defaults to the gauges' local time; ``late_hours`` admits readings published
-    that long before the high-water mark. The datasets keep their earlier split cut.
+    ``now`` defaults to the gauges' local time. Every reading is stored; those more than ``late_hours`` before the
+    high-water mark change the series at the next rebuild only. A run that failed after storing readings is made up
+    for by the next one. The datasets keep their earlier split cut.
     Returns per station the new rows and the last reading.
     """
     stage = shared_folder(spark, "update")
-    due = new_readings(spark, batch, root, now, late_hours)
+    write_table(new_readings(spark, batch, root, now, late_hours), f"{stage}/due")
+    due = spark.read.parquet(f"{stage}/due")
     write_table(merge_readings(due, f"{root}/readings"), f"{stage}/merged")
     merged = read(spark, f"{stage}/merged", f"{S.READINGS_TABLE}, is_new boolean, touched boolean")
     summary = merged.groupBy("basin", "station_id").agg(
         F.count_if("is_new").alias("new_rows"),
         F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm").alias("last_reading"),
     )
-    first_ts = merged.filter("touched").agg(F.min(hour_index(F.col("ts")))).first()[0]
-    if first_ts is None:
+    first_ts = _first_hour(spark, due, root)
+    if first_ts is None and merged.isEmpty():
         return summary
+    # Noted before the readings move ahead of the series, taken back after publication.
+    _pending(spark, root, first_ts)
     write_table(merged.drop("is_new", "touched"), f"{root}/readings", ["day"])
+    if first_ts is None:
+        return summary
 
     since = first_ts - SLICE_HOURS
     readings = read(spark, f"{root}/readings", S.READINGS_TABLE).filter(
@@ -131,6 +166,7 @@ def live_update(
     for name, schema in datasets.items():
         _publish(spark, f"{stage}/{name}", f"{root}/{name}", schema, warm)
     _publish(spark, f"{stage}/log", f"{root}/log", S.LOG_TABLE, warm)
+    _pending(spark, root, None)
     return summary
 
 

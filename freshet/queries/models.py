@@ -18,7 +18,7 @@ def _stored_dataset(spark, sf_dir):
     """Dataset with label, weights and baseline, written once: training reads it many times."""
     path = shared_folder(spark, "training")
     rows = ev.with_persistence(dataset(spark, sf_dir), series(spark, sf_dir), KEYS)
-    rows = ev.with_sample_weights(ev.with_label(rows, "target_6h", KEYS), "target_6h", KEYS)
+    rows = ev.with_sample_weights(ev.with_label(rows, "target_6h", KEYS), "target_6h", [])
     p75 = ev.train_quantile("target_6h", 0.75).over(Window.partitionBy(*KEYS))
     write_table(rows.withColumn("p75_train", p75), path)
     return spark.read.parquet(path)
@@ -29,7 +29,7 @@ def forest_regressors_report(spark, sf_dir):
     rows = _stored_dataset(spark, sf_dir)
     train, test = ev.split_sides(rows)
     test = training.predict(training.fit_regressor(train, "target_6h"), test, "absolute")
-    weighted = training.fit_regressor(train.filter("sample_weight IS NOT NULL"), "target_6h", "sample_weight")
+    weighted = training.fit_regressor(train, "target_6h", "sample_weight")
     test = training.predict(weighted, test, "weighted")
     test = training.predict_delta(training.fit_regressor(train, "delta"), test, "rebuilt")
     reports = [
@@ -53,5 +53,5 @@ def forest_classifier_sweep(spark, sf_dir):
 def forest_importance(spark, sf_dir):
     train, _ = ev.split_sides(_stored_dataset(spark, sf_dir))
     ranked = training.importances(spark, training.fit_classifier(ev.with_class_weights(train, [])))
-    total = ev.importance_by_family(ranked)
-    return r6(ranked.join(total, F.lit(True)))
+    total = ev.importance_by_family(ranked).first().asDict()  # one row of three values
+    return r6(ranked.select("*", *[F.lit(v).alias(c) for c, v in total.items()]))
