@@ -160,3 +160,59 @@ def test_forests_learn_and_round_trip(spark):
     out = training.predict_delta(reg, test, "p").agg(F.avg(F.abs(F.col("p") - F.col("target_6h"))).alias("mae"),
                                                     F.avg(F.col("target_6h")).alias("mean")).first()
     assert out.mae < out.mean + 1
+
+
+def hours_of(spark, root):
+    rows = tables.read(spark, f"{root}/series", S.SERIES_TABLE).select(*KEYS, F.round("P_basin", 6))
+    return {tuple(r) for r in rows.collect()}
+
+
+def built(spark, rows, now):
+    root = shared_folder(spark, "whole")
+    update.live_update(spark, as_batch(rows), root, base.score, now)
+    return hours_of(spark, root), {tuple(r) for r in logs(spark, root).collect()}
+
+
+def test_update_makes_up_for_a_failed_run(spark, rows, monkeypatch):
+    root = shared_folder(spark, "retry")
+    update.live_update(spark, as_batch(rows), root, base.score, "2024-01-10 00:00:00")
+
+    def refuse(*_):
+        raise parity.ParityError("forced")
+
+    with monkeypatch.context() as m:
+        m.setattr(update, "require_parity", refuse)
+        with pytest.raises(parity.ParityError):
+            update.live_update(spark, as_batch(rows), root, base.score, "2024-01-28 00:00:00")
+    update.live_update(spark, as_batch(rows), root, base.score, "2024-01-28 00:00:00")
+    assert (hours_of(spark, root), {tuple(r) for r in logs(spark, root).collect()}) == built(spark, rows, "2024-01-28 00:00:00")
+
+
+def test_update_fills_a_long_silence(spark, rows):
+    some = rows.filter("ts < timestamp_ntz'2024-01-04 00:00:00' OR ts >= timestamp_ntz'2024-01-12 00:00:00'")
+    root = shared_folder(spark, "silence")
+    for now in ("2024-01-04 00:00:00", "2024-01-13 00:00:00"):
+        update.live_update(spark, as_batch(some), root, base.score, now)
+    assert hours_of(spark, root) == built(spark, some, "2024-01-13 00:00:00")[0]
+
+
+def test_update_stores_readings_older_than_the_slice(spark, rows):
+    late = "ts >= timestamp_ntz'2024-01-06 00:00:00' AND ts < timestamp_ntz'2024-01-06 12:00:00'"
+    root = shared_folder(spark, "late")
+    update.live_update(spark, as_batch(rows.filter(f"NOT ({late})")), root, base.score, "2024-01-10 00:00:00")
+    update.live_update(spark, as_batch(rows), root, base.score, "2024-01-10 06:00:00")
+    kept = tables.read(spark, f"{root}/readings", S.READINGS_TABLE).filter(late)
+    assert kept.count() == rows.filter(late).select(*ingest.KEY).distinct().count() > 0
+
+
+def test_forest_does_not_depend_on_the_layout(spark):
+    from freshet.plans import training
+
+    rng = F.rand(3)
+    df = spark.range(400).select(
+        F.lit("b").alias("basin"), F.col("id").alias("hour_idx"), *[F.round(rng * (i + 1), 3).alias(f) for i, f in enumerate(S.FEATURES)],
+        (F.col("id") % 3 == 0).cast("double").alias("label"), F.lit(1.0).alias("class_weight"))
+    df.write.parquet(path := shared_folder(spark, "layout"))
+    stored = spark.read.parquet(path)
+    means = {round(training.score(training.fit_classifier(stored.repartition(n), numTrees=5), stored).agg(F.avg("proba_modelo")).first()[0], 12) for n in (3, 16)}
+    assert len(means) == 1
