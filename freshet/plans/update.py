@@ -28,6 +28,9 @@ from freshet.streaming.ingest import merge_readings
 from freshet.streaming.parity import require_parity
 
 KEYS = ["basin"]
+# Small state tables beside the large ones: the last reading of each station, the last hour of each basin.
+MARKS = "basin string, station_id string, ts timestamp_ntz"
+ENDS = "basin string, hour_idx bigint"
 # The slice reaches back over the splice overlap, a feature's look-back and its runoff's.
 SLICE_HOURS = 48 + S.LOOK_BACK_HOURS + S.ACCUMULATION_HOURS
 
@@ -41,6 +44,35 @@ def _from_hour(df: DataFrame, hour: int) -> DataFrame:
     return df.filter((F.col("day") >= since) & (F.col("hour_idx") >= hour)).drop("day")
 
 
+def _left_behind(spark: SparkSession, root: str) -> int | None:
+    """The first hour that a failed run left to be recomputed."""
+    left = read_or_none(spark, f"{root}/pending", "hour_idx bigint")
+    return None if left is None else left.agg(F.min("hour_idx")).first()[0]
+
+
+def _state(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame | None:
+    """A state table; None where it is missing or a failed run may have left it behind its source."""
+    return None if _left_behind(spark, root) is not None else read_or_none(spark, f"{root}/{name}", schema)
+
+
+def last_readings(spark: SparkSession, root: str) -> DataFrame | None:
+    """basin, station_id, ts of each station's last stored reading; the whole table is read without a valid state only."""
+    stored = read_or_none(spark, f"{root}/readings", S.READINGS_TABLE)
+    if stored is None:
+        return None
+    state = _state(spark, root, "marks", MARKS)
+    return stored.groupBy("basin", "station_id").agg(F.max("ts").alias("ts")) if state is None else state
+
+
+def last_hours(spark: SparkSession, root: str) -> DataFrame | None:
+    """basin, hour_idx of the last stored hour of each basin, likewise."""
+    series = read_or_none(spark, f"{root}/series", S.SERIES_TABLE)
+    if series is None:
+        return None
+    state = _state(spark, root, "ends", ENDS)
+    return series.groupBy("basin").agg(F.max("hour_idx").alias("hour_idx")) if state is None else state
+
+
 def new_readings(
     spark: SparkSession, batch: DataFrame, root: str, now: str | None = None, late_hours: int = 0
 ) -> DataFrame:
@@ -50,19 +82,18 @@ def new_readings(
     """
     until = F.lit(now).cast("timestamp_ntz") if now else local_now()
     due = batch.filter(F.col("ts") <= until)
-    stored = read_or_none(spark, f"{root}/readings", S.READINGS_TABLE)
+    stored = last_readings(spark, root)
     if stored is None:
         return due.withColumn("in_slice", F.lit(True))
-    series = read_or_none(spark, f"{root}/series", S.SERIES_TABLE)
-    none = spark.createDataFrame([], "basin string, hour_idx bigint")
-    ends = none if series is None else series.groupBy("basin").agg(F.max("hour_idx").alias("hour_idx"))
+    ends = last_hours(spark, root)
+    ends = spark.createDataFrame([], ENDS) if ends is None else ends
     stations = batch.select("basin", "station_id").distinct()
     marks = high_water_marks(stations, stored, ends, default="1970-01-01 00:00:00")
     start = F.col("since") - F.make_dt_interval(F.lit(0), F.lit(late_hours))
     return due.join(marks, ["basin", "station_id"]).withColumn("in_slice", F.col("ts") >= start).drop("since")
 
 
-def _first_hour(spark: SparkSession, due: DataFrame, root: str) -> int | None:
+def _first_hour(spark: SparkSession, due: DataFrame, root: str, ends: DataFrame | None) -> int | None:
     """The hour from which the series is to be rebuilt: the oldest of
 
     the readings to recompute, the hours a failed run left behind, and the hour after the last stored one
@@ -70,14 +101,10 @@ def _first_hour(spark: SparkSession, due: DataFrame, root: str) -> int | None:
     """
     fresh = due.filter("in_slice")
     hours = [fresh.agg(F.min(hour_index(F.col("ts")))).first()[0]]
-    left = read_or_none(spark, f"{root}/pending", "hour_idx bigint")
-    if left is not None:
-        hours.append(left.agg(F.min("hour_idx")).first()[0])
-    series = read_or_none(spark, f"{root}/series", S.SERIES_TABLE)
-    if series is not None:
+    hours.append(_left_behind(spark, root))
+    if ends is not None:
         touched = fresh.select("basin").distinct()
-        ends = series.groupBy("basin").agg(F.max("hour_idx").alias("end")).join(touched, "basin", "left_semi")
-        last = ends.agg(F.min("end")).first()[0]
+        last = ends.join(touched, "basin", "left_semi").agg(F.min("hour_idx")).first()[0]
         hours.append(None if last is None else last + 1)
     known = [h for h in hours if h is not None]
     return min(known) if known else None
@@ -88,6 +115,23 @@ def _pending(spark: SparkSession, root: str, hour: int | None) -> None:
     write_table(spark.createDataFrame([(hour,)], "hour_idx bigint"), f"{root}/pending")
 
 
+def _merged_marks(spark: SparkSession, merged: DataFrame, root: str, stage: str) -> DataFrame:
+    """The stations' last readings once ``merged`` is stored."""
+    marks = merged.select("basin", "station_id", "ts")
+    before = last_readings(spark, root)
+    marks = marks if before is None else marks.unionByName(before)
+    write_table(marks.groupBy("basin", "station_id").agg(F.max("ts").alias("ts")), f"{stage}/marks")
+    return read(spark, f"{stage}/marks", MARKS)
+
+
+def update_summary(merged: DataFrame, marks: DataFrame) -> DataFrame:
+    news = merged.groupBy("basin", "station_id").agg(F.count_if("is_new").alias("new_rows"))
+    return marks.join(news, ["basin", "station_id"], "left").select(
+        "basin", "station_id", F.coalesce("new_rows", F.lit(0)).alias("new_rows"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm").alias("last_reading"),
+    )
+
+
 def live_update(
     spark: SparkSession,
     batch: DataFrame,
@@ -103,23 +147,23 @@ def live_update(
     ``now`` defaults to the gauges' local time. Every reading is stored; those more than ``late_hours`` before the
     high-water mark change the series at the next rebuild only. A run that failed after storing readings is made up
     for by the next one. The datasets keep their earlier split cut.
-    Returns per station the new rows and the last reading.
+    Returns new rows and last reading of every station, those without news included.
     """
     stage = shared_folder(spark, "update")
     write_table(new_readings(spark, batch, root, now, late_hours), f"{stage}/due")
     due = spark.read.parquet(f"{stage}/due")
     write_table(merge_readings(due, f"{root}/readings"), f"{stage}/merged")
     merged = read(spark, f"{stage}/merged", f"{S.READINGS_TABLE}, is_new boolean, touched boolean")
-    summary = merged.groupBy("basin", "station_id").agg(
-        F.count_if("is_new").alias("new_rows"),
-        F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm").alias("last_reading"),
-    )
-    first_ts = _first_hour(spark, due, root)
+    marks = _merged_marks(spark, merged, root, stage)
+    summary = update_summary(merged, marks)
+    ends = last_hours(spark, root)
+    first_ts = _first_hour(spark, due, root, ends)
     if first_ts is None and merged.isEmpty():
         return summary
     # Noted before the readings move ahead of the series, taken back after publication.
     _pending(spark, root, first_ts)
     write_table(merged.drop("is_new", "touched"), f"{root}/readings", ["day"])
+    write_table(marks, f"{root}/marks")
     if first_ts is None:
         return summary
 
@@ -136,9 +180,12 @@ def live_update(
     if stored is None:
         joined = part
     else:
-        settled = (stored.agg(F.max("hour_idx")).first()[0] or since) + 1
+        settled = (ends.agg(F.max("hour_idx")).first()[0] or since) + 1
         joined = splice(_from_hour(stored, since), part, KEYS)
     write_table(_by_day(joined), f"{stage}/series")
+    new_ends = joined.select("basin", "hour_idx")
+    new_ends = new_ends if ends is None else new_ends.unionByName(ends)
+    write_table(new_ends.groupBy("basin").agg(F.max("hour_idx").alias("hour_idx")), f"{stage}/ends")
     series = read(spark, f"{stage}/series", S.SERIES_TABLE).drop("day")
 
     rows = feature_rows(quality_split(series)[0], horizons)
@@ -166,6 +213,7 @@ def live_update(
     for name, schema in datasets.items():
         _publish(spark, f"{stage}/{name}", f"{root}/{name}", schema, warm)
     _publish(spark, f"{stage}/log", f"{root}/log", S.LOG_TABLE, warm)
+    write_table(read(spark, f"{stage}/ends", ENDS), f"{root}/ends")
     _pending(spark, root, None)
     return summary
 

@@ -16,7 +16,7 @@ from freshet.queries.sql import _series, r, with_ctes
 from freshet.session import shared_folder
 from freshet.sources import gauges
 from freshet.sources.tables import read
-from freshet.streaming import hours, ingest, parity
+from freshet.streaming import arrivals, hours, ingest, parity
 
 # An hour is closed once the watermark (latest reading - 48 h) has passed its end.
 CLOSED = "hour_idx + 1 <= (SELECT epoch_us(max(ts)) - 48 * 3600000000 FROM readings) / 3600000000"
@@ -161,10 +161,22 @@ def live_update_dataset(spark, sf_dir):
 @query(
     "live_update_summary", "I6 D38 A11",
     with_ctes(
-        """SELECT basin, station_id, count(*) FILTER (ts >= TIMESTAMP '2024-01-25') AS new_rows,
-             strftime(max(ts), '%Y-%m-%d %H:%M') AS last_reading
-           FROM readings r WHERE CAST(ts AS DATE) >= CAST((SELECT max(ts) FROM readings o WHERE o.basin = r.basin AND o.station_id = r.station_id
-             AND o.ts < TIMESTAMP '2024-01-25') - INTERVAL 48 HOUR AS DATE) GROUP BY ALL""", "readings"),
+        """SELECT basin, station_id, count(DISTINCT ts) FILTER (ts >= TIMESTAMP '2024-01-25') AS new_rows,
+             strftime(max(ts), '%Y-%m-%d %H:%M') AS last_reading FROM readings GROUP BY ALL""", "readings"),
 )
 def live_update_summary(spark, sf_dir):
     return _updated(spark, sf_dir)[1]
+
+
+@query("arriving_prediction_log", "I1 I2 I4 I5", with_ctes(f"SELECT {LOG_SQL} FROM log", "log"))
+def arriving_prediction_log(spark, sf_dir):
+    """Two landings; half a day of the 19th arrives with the second, after later hours were scored without it."""
+    root = shared_folder(spark, "arrivals")
+    rows = _readings(spark, sf_dir).filter(F.col("sensor_id") == gauges.PRINCIPAL_SENSOR).drop("arrival")
+    late = "ts >= timestamp_ntz'2024-01-19 03:00:00' AND ts < timestamp_ntz'2024-01-19 15:00:00'"
+    first = f"ts < timestamp_ntz'2024-01-20 00:00:00' AND NOT ({late})"
+    for part in (first, f"NOT ({first})"):
+        rows.filter(part).write.mode("append").parquet(f"{root}/landing")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/landing")
+        arrivals.start_updates(stream, root, score).awaitTermination()
+    return r6(read(spark, f"{root}/log", S.LOG_TABLE).select("basin", *S.LOG_COLUMNS))

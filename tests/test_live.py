@@ -9,7 +9,7 @@ from freshet.plans import evaluation, reporting, scenarios, training, update
 from freshet.queries import base, models
 from freshet.session import shared_folder
 from freshet.sources import gauges, tables
-from freshet.streaming import hours, ingest, parity
+from freshet.streaming import arrivals, hours, ingest, parity
 
 KEYS = ["basin", "hour_idx"]
 
@@ -205,6 +205,39 @@ def test_update_stores_readings_older_than_the_slice(spark, rows):
     assert kept.count() == rows.filter(late).select(*ingest.KEY).distinct().count() > 0
 
 
+def test_arrivals_are_scored_at_once_and_corrected_later(spark, rows):
+    """The second micro-batch corrects values of the first; the log is that of the corrected readings, up to the last hour."""
+    root = shared_folder(spark, "arrive")
+    some = rows.filter("ts < timestamp_ntz'2024-01-08 00:00:00'")
+    wrong = "ts >= timestamp_ntz'2024-01-06 20:00:00' AND ts < timestamp_ntz'2024-01-07 00:00:00'"
+    first = some.filter("ts < timestamp_ntz'2024-01-07 00:00:00'").withColumn("mm", F.expr(f"CASE WHEN {wrong} THEN mm + 4.5D ELSE mm END"))
+    for part, last_hour in ((first, "2024-01-06 23:00:00"), (some.filter(f"{wrong} OR ts >= timestamp_ntz'2024-01-07 00:00:00'"), "2024-01-07 23:00:00")):
+        part.write.mode("append").parquet(f"{root}/landing")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/landing")
+        arrivals.start_updates(stream, root, base.score).awaitTermination()
+        assert str(logs(spark, root).agg(F.max("timestamp")).first()[0]) == last_hour
+    want = reporting.prediction_log(base.score(features.complete(expected_features(some))))
+    got = logs(spark, root)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_summary_lists_silent_stations_and_state_follows_the_tables(spark, rows):
+    root = shared_folder(spark, "quiet")
+    early = rows.filter("ts < timestamp_ntz'2024-01-05 00:00:00'")
+    update.live_update(spark, as_batch(early), root, base.score, "2024-01-05 00:00:00")
+    one = early.select("basin", "station_id").orderBy("basin", "station_id").first()
+    news = rows.filter((F.col("basin") == one.basin) & (F.col("station_id") == one.station_id) & (F.col("ts") < F.lit("2024-01-06").cast("timestamp_ntz")))
+    summary = update.live_update(spark, as_batch(news), root, base.score, "2024-01-06 00:00:00").collect()
+    assert len(summary) == early.select("basin", "station_id").distinct().count() > 1
+    assert all((r.new_rows > 0) == ((r.basin, r.station_id) == tuple(one)) and r.last_reading for r in summary)
+    readings = tables.read(spark, f"{root}/readings", S.READINGS_TABLE)
+    marks = tables.read(spark, f"{root}/marks", update.MARKS)
+    assert marks.exceptAll(readings.groupBy("basin", "station_id").agg(F.max("ts"))).count() == 0
+    stored = tables.read(spark, f"{root}/series", S.SERIES_TABLE)
+    ends = tables.read(spark, f"{root}/ends", update.ENDS)
+    assert ends.exceptAll(stored.groupBy("basin").agg(F.max("hour_idx"))).count() == 0
+
+
 def test_forest_does_not_depend_on_the_layout(spark):
     from freshet.plans import training
 
