@@ -10,11 +10,13 @@ searches per token inside the task; no shuffle.
 Rule for a token that crosses an edge: ``majority`` gives it to the section holding most of its bytes (the earlier one on a
 tie); ``start`` to the section of its first byte. Tokens are never split or counted twice.
 
-Sections given as (doc_id, name, start, end) character spans may leave gaps; tokens there are counted under the name
-null. The default sections are a text's lines, each with its line break.
+``section_counts`` takes a text's lines, each with its line break; ``field_counts`` the columns of a row; ``span_counts``
+sections given as (doc_id, name, start, end) character spans, which may leave gaps: tokens there are counted under the name
+null. Given sections come to their document by a join on its id; a document's sections are one array.
 
 Defined results: null and empty texts have no token and one empty section; sections of length 0 get none; repeated
-rows are counted each; overlapping sections are refused.
+rows are counted each; given sections that overlap are refused, those beyond the text end with it, and those with a null
+id, start or end are ignored.
 """
 
 from __future__ import annotations
@@ -115,3 +117,47 @@ def field_counts(docs: DataFrame, fields: list[str], path: str, pattern: str, ru
         return out
 
     return map_rows(docs.select(F.col("doc_id").cast("bigint"), *fields), run, "doc_id bigint, field string, n_tokens bigint")
+
+
+def tiles(spans: list[dict], n: int) -> list[tuple[str | None, int, int]]:
+    """Sorted sections and the gaps between them, as (name, start, end): together a text of ``n`` characters."""
+    out: list[tuple[str | None, int, int]] = []
+    at = 0
+    for s in spans:
+        start, end = min(s["start"], n), min(s["end"], n)
+        if start < at or s["end"] < s["start"]:
+            raise ValueError(f"section {s['name']} at {s['start']} overlaps another or ends before it starts")
+        if start > at:
+            out.append((None, at, start))
+        out.append((s["name"], start, end))
+        at = end
+    return out if out and at == n else [*out, (None, at, n)]
+
+
+def span_counts(docs: DataFrame, sections: DataFrame, path: str, pattern: str, rule: str = "majority") -> DataFrame:
+    """doc_id, name, start, end (characters), n_tokens, n_crossing of the given sections and of the gaps between them."""
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {n: [] for n in ("doc_id", "name", "start", "end", "n_tokens", "n_crossing")}
+        for doc_id, text, spans in zip(cols["doc_id"], cols["text"], cols["spans"]):
+            raw = np.frombuffer(utf8(text), np.uint8)
+            # Byte position of every character, and of the end.
+            bytes_at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+            names, starts, ends = zip(*tiles(spans or [], len(bytes_at) - 1))
+            own, crossing = owners(encoder(path, pattern).ends(text or ""), bytes_at[list(ends)], rule)
+            out["doc_id"].extend([doc_id] * len(names))
+            out["name"].extend(names)
+            out["start"].extend(starts)
+            out["end"].extend(ends)
+            out["n_tokens"].extend(np.bincount(own, minlength=len(names)).tolist())
+            out["n_crossing"].extend(np.bincount(own[crossing], minlength=len(names)).tolist())
+        return out
+
+    span = F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"),
+                    F.col("name").cast("string").alias("name"))
+    given = sections.select(F.col("doc_id").cast("bigint").alias("doc_id"), span.alias("span"))
+    given = given.filter(F.col("span.start").isNotNull() & F.col("span.end").isNotNull())
+    given = given.groupBy("doc_id").agg(F.sort_array(F.collect_list("span")).alias("spans"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(given, "doc_id", "left")
+    schema = "doc_id bigint, name string, start bigint, end bigint, n_tokens bigint, n_crossing bigint"
+    return map_rows(rows, run, schema)

@@ -218,6 +218,32 @@ def test_token_counts_add_up_and_follow_the_rule(spark):
         tokencounts.owners(np.array([1]), np.array([1]), "other")
 
 
+def test_given_sections_and_gaps_against_brute_force(spark):
+    import public_tokenizers
+
+    args = queries.tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    text = "Größe und Länge: naïve 日本語 words, wonderful übermäßig\nlast line"
+    given = [(1, "head", 0, 7), (1, "empty", 7, 7), (1, "mid", 12, 40), (1, "past", 60, 999), (9, "other", 0, 1), (1, "null", None, 5)]
+    sections = spark.createDataFrame(given, "doc_id int, name string, start int, end int")
+    d = docs(spark, [(1, text), (1, text), (2, "no sections"), (3, ""), (4, None), (None, "abc")])
+    rows = tokencounts.span_counts(d, sections, *args).collect()
+    coder = tokencounts.encoder(*args)
+    edges = [("head", 0, 7), ("empty", 7, 7), (None, 7, 12), ("mid", 12, 40), (None, 40, 60), ("past", 60, len(text))]
+    want = Counter()
+    at = 0
+    for end in coder.ends(text).tolist():
+        held = [max(0, min(end, len(text[:z].encode())) - max(at, len(text[:a].encode()))) for _, a, z in edges]
+        want[held.index(max(held))] += 1
+        at = end
+    got = Counter((r["name"], r["start"], r["end"], r["n_tokens"]) for r in rows if r["doc_id"] == 1)
+    assert got == Counter({(*e, want[i]): 2 for i, e in enumerate(edges)})
+    rest = {r["doc_id"]: (r["name"], r["start"], r["end"], r["n_tokens"]) for r in rows if r["doc_id"] != 1}
+    assert rest == {2: (None, 0, 11, 2), 3: (None, 0, 0, 0), 4: (None, 0, 0, 0), None: (None, 0, 3, len(coder.ends("abc")))}
+    assert tokencounts.span_counts(d.limit(0), sections, *args).collect() == []
+    with pytest.raises(ValueError):
+        tokencounts.tiles([{"name": "a", "start": 0, "end": 5}, {"name": "b", "start": 4, "end": 6}], 9)
+
+
 def test_url_lists_as_of_the_fetch_day(spark):
     entries = spark.createDataFrame([
         ("l", "block", "bad.com", "2024-01-10", "add"), ("l", "block", "bad.com", "2024-02-20", "remove"),
