@@ -33,6 +33,16 @@ def runoff(rain: Column, cn) -> Column:
     ).otherwise(excess * excess / (excess + retention(cn)))
 
 
+def with_cn(rows: DataFrame, cn, keys: list[str]) -> tuple[DataFrame, Column | float]:
+    """Rows and the curve number to use on them.
+
+    A table (keys, cn) is joined as column ``_cn``; what it does not name has the default.
+    """
+    if not isinstance(cn, DataFrame):
+        return rows, cn
+    return rows.join(cn.select(*keys, F.col("cn").alias("_cn")), keys, "left"), F.coalesce("_cn", F.lit(DEFAULT_CN))
+
+
 def composite_cn(reaches: DataFrame, keys: list[str]) -> DataFrame:
     """Area-weighted curve number per basin, to one decimal."""
     return reaches.groupBy(*keys).agg(

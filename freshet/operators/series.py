@@ -53,11 +53,15 @@ def complete_grid(hours: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def with_runoff(
     hours: DataFrame,
-    cn: Column | float = hydrology.DEFAULT_CN,
+    cn: Column | float | DataFrame = hydrology.DEFAULT_CN,
     keys: list[str] | None = None,
     chunk_len: int | None = None,
 ) -> DataFrame:
-    """24 h accumulation (NULL under 12 valid hours) and curve-number runoff."""
+    """24 h accumulation (NULL under 12 valid hours) and curve-number runoff.
+
+    ``cn`` is one number, a column, or a table with a number per key.
+    """
+    keys = keys or ["basin"]
 
     def columns(w):
         total = trailing(w, F.sum("P_basin"), S.ACCUMULATION_HOURS)
@@ -65,15 +69,16 @@ def with_runoff(
         return {"P_acc_24h": F.when(valid >= S.MIN_VALID_HOURS, total)}
 
     acc = add_windowed(
-        hours, keys or ["basin"], "hour_idx", columns,
+        hours, keys, "hour_idx", columns,
         back=S.ACCUMULATION_HOURS, chunk_len=chunk_len,
     )
-    return acc.withColumn("Q_scs_proxy", hydrology.runoff(F.col("P_acc_24h"), cn))
+    acc, number = hydrology.with_cn(acc, cn, keys)
+    return acc.withColumn("Q_scs_proxy", hydrology.runoff(F.col("P_acc_24h"), number)).drop("_cn")
 
 
 def runoff_series(
     readings: DataFrame,
-    cn: Column | float = hydrology.DEFAULT_CN,
+    cn: Column | float | DataFrame = hydrology.DEFAULT_CN,
     unique: bool = False,
     chunk_len: int | None = None,
 ) -> DataFrame:

@@ -74,7 +74,7 @@ def daily_rain(stations: DataFrame, min_hours: int = FULL_DAY) -> DataFrame:
 def compare_pairs(
     stations: DataFrame,
     pairs: DataFrame,
-    cn: float = hydrology.DEFAULT_CN,
+    cn: float | DataFrame = hydrology.DEFAULT_CN,
     min_hours: int = FULL_DAY,
 ) -> DataFrame:
     """Wet days in both stations of each pair, exceedances of the abstraction, correlation.
@@ -94,7 +94,8 @@ def compare_pairs(
         "basin", "station_a", "station_b", "day_idx"
     ).agg(*[F.max(F.when(F.col("side") == s, F.col("mm"))).alias(s) for s in "ab"])
     wet = sides.filter((F.col("a") > 0) & (F.col("b") > 0))
-    ia = hydrology.abstraction(cn)
+    wet, number = hydrology.with_cn(wet, cn, ["basin"])
+    ia = hydrology.abstraction(number)
     over = (F.col("a") > ia).cast("int") + (F.col("b") > ia).cast("int")
     spread = (F.stddev_pop("a") > 0) & (F.stddev_pop("b") > 0)
     out = wet.groupBy("basin", "station_a", "station_b").agg(

@@ -139,14 +139,14 @@ def live_update(
     score: Callable[[DataFrame], DataFrame],
     now: str | None = None,
     late_hours: int = 48,
-    cn: float = hydrology.DEFAULT_CN,
+    cn: float | DataFrame = hydrology.DEFAULT_CN,
     horizons: tuple[int, ...] = S.HORIZONS,
 ) -> DataFrame:
     """Apply a batch of readings (basin, station_id, sensor_id, ts, mm, arrival).
 
     ``now`` defaults to the gauges' local time. Every reading is stored; those more than ``late_hours`` before the
     high-water mark change the series at the next rebuild only. A run that failed after storing readings is made up
-    for by the next one. The datasets keep their earlier split cut.
+    for by the next one. The datasets keep their earlier split cut. ``cn`` may be a table (basin, cn).
     Returns new rows and last reading of every station, those without news included.
     """
     stage = shared_folder(spark, "update")

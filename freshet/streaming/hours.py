@@ -75,7 +75,7 @@ def process_batch(
     batch_id: int,
     root: str,
     score: Callable[[DataFrame], DataFrame],
-    cn: float = hydrology.DEFAULT_CN,
+    cn: float | DataFrame = hydrology.DEFAULT_CN,
     spark: SparkSession | None = None,
 ) -> None:
     """Store the closed hours, then compute and store features and log rows for them.
@@ -106,6 +106,7 @@ def start(
     score: Callable[[DataFrame], DataFrame],
     lateness: str = LATENESS,
     arrival: str | None = None,
+    cn: float | DataFrame = hydrology.DEFAULT_CN,
 ) -> StreamingQuery:
     """Run over everything available, then stop; the checkpoint under ``root`` resumes it."""
     closed = closed_station_hours(readings, lateness, arrival)
@@ -114,6 +115,6 @@ def start(
         closed.writeStream.outputMode("append")
         .option("checkpointLocation", f"{root}/_checkpoint")
         .trigger(availableNow=True)
-        .foreachBatch(lambda df, i: process_batch(df, i, root, score, spark=session))
+        .foreachBatch(lambda df, i: process_batch(df, i, root, score, cn, session))
         .start()
     )

@@ -101,6 +101,34 @@ def test_live_update_by_slices_equals_one_build(spark, rows):
     assert again.agg(F.sum("new_rows")).first()[0] == 0
 
 
+def test_curve_number_per_basin_in_build_update_and_stream(spark, rows):
+    some = rows.filter("ts < timestamp_ntz'2024-01-12 00:00:00'").cache()
+    basins = sorted(r[0] for r in some.select("basin").distinct().collect())
+    numbers = dict(zip(basins, (60.0, 92.0)))  # the others have the default
+    table = spark.createDataFrame(list(numbers.items()), "basin string, cn double")
+    want = series.runoff_series(some, table).cache()
+    for b in basins[:3]:
+        alone = series.runoff_series(some.filter(F.col("basin") == b), numbers.get(b, 81.1))
+        assert alone.exceptAll(want.select(alone.columns)).isEmpty()
+    assert want.columns == series.runoff_series(some).columns
+
+    root = shared_folder(spark, "numbers")
+    cut = "timestamp_ntz'2024-01-09 00:00:00'"
+    for part, now in ((f"ts < {cut}", "2024-01-09 00:00:00"), (f"ts >= {cut}", "2024-01-12 00:00:00")):
+        update.live_update(spark, some.filter(part).withColumn("arrival", F.lit(0).cast("long")), root, base.score, now, cn=table)
+    got = tables.read(spark, f"{root}/series", S.SERIES_TABLE)
+    near = [c if t == "string" or c == "hour_idx" else F.round(c, 9).alias(c) for c, t in want.select(*KEYS, "P_acc_24h", "Q_scs_proxy").dtypes]
+    assert got.count() == want.count() and got.select(near).exceptAll(want.select(near)).isEmpty()
+
+    some.write.parquet(f"{root}/landing")
+    stream = spark.readStream.schema(some.schema).parquet(f"{root}/landing")
+    hours.start(stream, f"{root}/stream", base.score, cn=table).awaitTermination()
+    streamed = tables.read(spark, f"{root}/stream/features", hours.FEATURES)
+    batch = features.feature_rows(series.quality_split(want)[0]).join(streamed.select(*KEYS), KEYS, "left_semi")
+    assert streamed.count() > 0
+    parity.require_parity(batch, streamed, KEYS)
+
+
 def test_failed_parity_keeps_the_published_log(spark, rows, monkeypatch):
     root = shared_folder(spark, "gate")
     update.live_update(spark, as_batch(rows), root, base.score, "2024-01-20 00:00:00")
