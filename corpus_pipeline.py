@@ -13,6 +13,8 @@ from freshet.llm import decontam, linededup, minhash, packing, toxicity
 from freshet.llm.common import stored, table
 from freshet.llm.queries import tokenizer_path
 
+NEAR_COPIES = 80  # per cent; op8's contract of 85 binds op8 only
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go."""
@@ -28,9 +30,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays (documents without words all stay)."""
+    """Of each group of near copies (word shingles alike to ``NEAR_COPIES`` per cent or more) the document with the
+    smallest id stays (documents without words all stay)."""
     # Only ids move: what goes is listed, and the documents are filtered by that list.
-    gone = minhash.near_duplicates(docs.select("doc_id", "text")).filter("NOT kept").select("doc_id").distinct()
+    found = minhash.near_duplicates(docs.select("doc_id", "text"), NEAR_COPIES)
+    gone = found.filter("NOT kept").select("doc_id").distinct()
     return docs.join(stored(gone, "near_copies"), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -351,3 +351,17 @@ def test_pipeline_stages_and_result(spark):
         assert 0 < d.count() <= before
     want = {r["doc_id"] for r in d.select("doc_id").collect()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SMALL).collect()} == want
+
+
+def test_near_dedup_stage_links_at_80_per_cent(spark):
+    def replaced(head, k):
+        words = [f"{head}{i}" for i in range(200)]
+        return " ".join(f"new{head}{i}" if i % 10 == 5 and i < 10 * k else w for i, w in enumerate(words))
+
+    # Each replaced word changes five of 196 shingles: k = 4 gives 176 / 216 = 0.81, k = 5 gives 171 / 221 = 0.77.
+    rows = [(1, replaced("a", 0)), (2, replaced("a", 4)), (3, replaced("b", 0)), (4, replaced("b", 5))]
+    # k = 1 gives 191 / 201 = 0.95, above either threshold.
+    rows += [(5, replaced("c", 0)), (6, replaced("c", 1))]
+    d = docs(spark, rows)
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, d, SMALL).collect()} == {1, 3, 4, 5}
+    assert {r["doc_id"] for r in minhash.near_duplicates(d).filter("kept").collect()} == {1, 2, 3, 4, 5}
