@@ -365,3 +365,21 @@ def test_near_dedup_stage_links_at_80_per_cent(spark):
     d = docs(spark, rows)
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, d, SMALL).collect()} == {1, 3, 4, 5}
     assert {r["doc_id"] for r in minhash.near_duplicates(d).filter("kept").collect()} == {1, 2, 3, 4, 5}
+
+
+def test_failing_documents_go_without_their_host(spark):
+    good = "one two three four five six seven eight nine ten eleven"
+    bad = {0: good + " # $", 1: " ".join(["extraordinarily"] * 2 + [f"incomprehensible{i}" for i in range(10)]),
+           2: "\n".join(["a line here", "another two"] + ["some third line"] * 4), 3: " ".join(f"a{i % 7}" for i in range(12))}
+    kept = {4: good + "\n" + good[:7] + "\n" + good[:7], 5: " ".join(["\u4e2d\u6587\u6c49\u5b57" * 4 + chr(0x4E00 + i) for i in range(12)])}
+    rows = [(i, bad.get(i, kept.get(i, good)), "en", f"h{i % 4}", "", "") for i in range(200)]
+    out = {r["doc_id"]: r for r in hostrules.judged(spark.createDataFrame(rows, DOCS), F.col("source")).collect()}
+    assert not any(r["host_rejected"] for r in out.values())
+    assert {i for i, r in out.items() if not r["kept"]} == set(bad)
+    assert out[0]["rules_failed"] and not out[0]["base_failed"]
+
+
+def test_host_limit_follows_the_prior():
+    # Mean 0.1, deviation 0.05; a wide prior is held at a half, a narrow one near 0 at a fifth.
+    assert hostrules.host_limit(3.5, 31.5) == pytest.approx(0.3)
+    assert hostrules.host_limit(1.0, 1.0) == 0.5 and hostrules.host_limit(1.0, 1000.0) == 0.2
