@@ -383,3 +383,20 @@ def test_host_limit_follows_the_prior():
     # Mean 0.1, deviation 0.05; a wide prior is held at a half, a narrow one near 0 at a fifth.
     assert hostrules.host_limit(3.5, 31.5) == pytest.approx(0.3)
     assert hostrules.host_limit(1.0, 1.0) == 0.5 and hostrules.host_limit(1.0, 1000.0) == 0.2
+
+
+def test_grams_keep_their_identity_and_large_tables_join(spark, monkeypatch):
+    grams = np.arange(1, 600_001, dtype=np.uint64) * np.uint64(0x10001000F)
+    assert len(np.unique(langid.hashed(grams, 4))) == len(grams)
+    words = {"en": "the and this that with house".split(), "de": "der und das mit haus nicht".split()}
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(rng.choice(words[x], 8)), x, "s", "", "") for i in range(60) for x in (("en", "de")[i % 2],)]
+    d = spark.createDataFrame(rows + [(99, None, "en", "s", "", ""), (98, "zzz qqq", None, "s", "", "")], DOCS)
+    want = {r["doc_id"]: r for r in langid.identified(d, langid.train(d)).collect()}
+    monkeypatch.setattr(langid, "CELLS", 0)
+    model = langid.train(d)
+    assert model.large is not None and len(model.orders) == 1
+    got = langid.identified(d, model).collect()
+    assert len(got) == len(want) == 62
+    for r in got:
+        assert r["lang_pred"] == want[r["doc_id"]]["lang_pred"] and r["score"] == pytest.approx(want[r["doc_id"]]["score"], abs=1e-9)
