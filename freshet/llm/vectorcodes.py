@@ -210,7 +210,7 @@ def improved(held: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:
     arrow = spark_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = [EntryTree(b) for b in books]
+        trees = [EntryTree(b) for b in books if len(b)]
         counts = [np.zeros(len(b), np.int64) for b in books]
         sums = [np.zeros(b.shape, np.int64) for b in books]
         for batch in batches:
@@ -238,7 +238,7 @@ def coded(held: DataFrame, books: list[np.ndarray]) -> DataFrame:
     arrow = spark_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = [EntryTree(b) for b in books]
+        trees = [EntryTree(b) for b in books if len(b)]
         for batch in batches:
             for i in range(batch.num_rows):
                 block = Block(batch.slice(i, 1).to_pylist()[0])
