@@ -5,14 +5,15 @@ Reports that look back from "now" use the data's own last time, per basin.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions import rules
-from freshet.functions.timegrid import date_index, day_date, spanish_date
+from freshet.functions.timegrid import date_index, day_date, day_index, hour_index, spanish_date
 from freshet.operators.frames import fill_gaps
 from freshet.operators.series import latest_row
 from freshet.schema import LOG_COLUMNS
+from freshet.sources.tables import on_days_of
 
 KEYS = ["basin"]
 
@@ -59,11 +60,30 @@ def missing_days(log: DataFrame, days: int = 90, keys: list[str] = KEYS) -> Data
     return calendar(log, days, keys).filter("nivel = -1").select(*keys, "dia")
 
 
-def trailing_rain(series: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Rain of the last 24 h, 7 d and 30 d, counted back from the last hour, ends included."""
-    # The last hours are a partial maximum; only the rows of the last 30 days are summed.
-    last = series.groupBy(*keys).agg(F.max("hour_idx").alias("_last"))
-    back = series.join(last, keys).withColumn("_ago", F.col("_last") - F.col("hour_idx")).filter(f"_ago <= {30 * 24}")
+def last_days(rows: DataFrame, last: DataFrame, hours: int, day: Column, keys: list[str] = KEYS) -> DataFrame:
+    """The rows on the days that hold the ``hours`` before each series' last hour, with that hour as ``_last``.
+
+    ``last`` (keys, hour_idx) is spread over its days, so rows meet it by an equi-join on series and day whatever the
+    keys are. The days are few scalars: a stored table partitioned by ``day`` reads only theirs.
+    """
+    ends = last.select(*keys, F.col("hour_idx").alias("_last"))
+    span = F.sequence(day_index(F.col("_last") - hours), day_index(F.col("_last")))
+    ends = ends.withColumn("_day", day_date(F.explode(span)))
+    if "day" in rows.columns:
+        rows = on_days_of(rows, ends.select(F.col("_day").alias("day")))
+    return rows.withColumn("_day", day).join(ends, [*keys, "_day"]).drop("_day")
+
+
+def trailing_rain(series: DataFrame, keys: list[str] = KEYS, last: DataFrame | None = None) -> DataFrame:
+    """Rain of the last 24 h, 7 d and 30 d, counted back from the last hour, ends included.
+
+    ``last`` (keys, hour_idx) spares the scan that looks for the last hours; a live update keeps such a table (``ends``).
+    """
+    if last is None:
+        last = series.groupBy(*keys).agg(F.max("hour_idx").alias("hour_idx"))
+    day = F.col("day") if "day" in series.columns else day_date(day_index(F.col("hour_idx")))
+    back = last_days(series, last, 30 * 24, day, keys)
+    back = back.withColumn("_ago", F.col("_last") - F.col("hour_idx")).filter(f"_ago BETWEEN 0 AND {30 * 24}")
 
     def total(hours: int):
         return F.coalesce(F.sum(F.when(F.col("_ago") <= hours, F.col("P_basin"))), F.lit(0.0))
@@ -74,14 +94,15 @@ def trailing_rain(series: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     )
 
 
-def alert_days(log: DataFrame, days: int = 30, keys: list[str] = KEYS) -> DataFrame:
-    """Distinct dates in alert within ``days`` of the log's last hour."""
-    last = log.groupBy(*keys).agg(F.max("timestamp").alias("_last"))
-    recent = log.join(last, keys).filter(
-        F.col("timestamp") >= F.col("_last") - F.make_dt_interval(F.lit(days))
-    )
+def alert_days(log: DataFrame, days: int = 30, keys: list[str] = KEYS, last: DataFrame | None = None) -> DataFrame:
+    """Distinct dates in alert within ``days`` of the log's last hour (``last`` as in ``trailing_rain``)."""
+    if last is None:
+        last = log.groupBy(*keys).agg(hour_index(F.max("timestamp")).alias("hour_idx"))
+    day = F.col("day") if "day" in log.columns else F.col("timestamp").cast("date")
+    recent = last_days(log, last, days * 24, day, keys)
+    ago = F.col("_last") - hour_index(F.col("timestamp"))
     alert = F.when(F.col("estado") == rules.STATES[2], F.col("timestamp").cast("date"))
-    return recent.groupBy(*keys).agg(F.count_distinct(alert).alias("dias_alerta"))
+    return recent.filter(ago.between(0, days * 24)).groupBy(*keys).agg(F.count_distinct(alert).alias("dias_alerta"))
 
 
 def recent_alert_days(log: DataFrame, k: int = 6, keys: list[str] = KEYS) -> DataFrame:

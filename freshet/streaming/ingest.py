@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from freshet import schema as S
-from freshet.sources.tables import read_or_none, write_table
+from freshet.sources.tables import on_days_of, read_or_none, write_table
 
-MAX_LISTED_DAYS = 1_000
 KEY = ["basin", "station_id", "sensor_id", "ts"]
 
 
@@ -38,19 +37,6 @@ def merge_readings(batch: DataFrame, path: str) -> DataFrame:
     )
 
 
-def on_days_of(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Stored rows of the days that ``new`` touches.
-
-    The days are few scalars and become a literal list, so only their partitions are listed and read; a
-    batch over more than ``MAX_LISTED_DAYS`` days (a first load) is joined instead, with the same rows.
-    """
-    days = new.select("day").distinct()
-    listed = [r[0] for r in days.limit(MAX_LISTED_DAYS + 1).collect()]
-    if len(listed) > MAX_LISTED_DAYS:
-        return stored.join(days, "day", "left_semi")
-    return stored.filter(F.col("day").isin(listed))
-
-
 def upsert(batch: DataFrame, path: str) -> None:
     merged = merge_readings(batch, path).drop("is_new", "touched")
     write_table(merged, path, ["day"], salt_on=KEY)
