@@ -108,6 +108,12 @@ def parsed(terminals: list[Cells]) -> Cells:
     return spans[0, n]
 
 
+@lru_cache(maxsize=20_000)
+def parsed_rows(rows: tuple[tuple[str, bool, bool, bool], ...]) -> Cells:
+    """The cells of rows given by role initial and fault; short conversations of the same make are parsed once."""
+    return parsed([terminal(*row) for row in rows])
+
+
 def least(cells: Cells) -> tuple[int, str]:
     return min(c for c in (cells.get(("-", "-")), cells.get(("-", "a"))) if c is not None)
 
@@ -189,7 +195,7 @@ def row_stretch(row: dict) -> dict:
         "distinct_turns": int(known), "first_turn": row["turn"], "last_turn": row["turn"],
         "blank": int(row["blank"]), "duplicate": int(row["duplicate"]), "truncated": int(row["truncated"]), "illegal": 0,
         "first_role": row["role"], "last_role": row["role"],
-        "cells": terminal(row["role"], row["blank"], row["duplicate"], row["truncated"]),
+        "row": (row["role"], row["blank"], row["duplicate"], row["truncated"]),
     }
 
 
@@ -209,12 +215,13 @@ def joined_stretch(parts: list[dict]) -> dict:
         out["first_turn"] = x["first_turn"] if out["first_turn"] is None else out["first_turn"]
         out["last_turn"] = out["last_turn"] if x["last_turn"] is None else x["last_turn"]
         out["last_role"] = x["last_role"]
-    return out | {"cells": parsed([x["cells"] for x in parts])}
+    rows = "row" in parts[0]
+    return out | {"cells": parsed_rows(tuple(x["row"] for x in parts)) if rows else parsed([x["cells"] for x in parts])}
 
 
 def written(stretch: dict) -> dict:
     cells = [stretch["cells"].get(s) for s in SYMBOLS]
-    rest = {k: v for k, v in stretch.items() if k not in ("cells", "costs", "audits")}
+    rest = {k: v for k, v in stretch.items() if k not in ("row", "cells", "costs", "audits")}
     return rest | {"costs": [c and c[0] for c in cells], "audits": [c and c[1] for c in cells]}
 
 
