@@ -51,3 +51,24 @@ def with_rules(df, raw: str = "proba_modelo", rain: str = "roll_sum_24h"):
     return df.withColumn("proba_alerta", dry_rule(F.col(raw), F.col(rain))).withColumn(
         "estado", state(F.col("proba_alerta"))
     )
+
+
+# Sources measured in the channel, by how their names begin.
+IN_CHANNEL = ("nivel:", "turbidez")
+
+
+def fused_state(probability: Column, sources: Column, has_valid_nodes: Column) -> Column:
+    """State from the model and the critical signals of the last half hour (``sources``: array of distinct names).
+
+    A probability at the alert threshold counts as the source ``modelo``. Two sources, one of them in the channel, are an alert; one
+    source or a probability at the caution threshold is a caution. Without a valid node the model's own scale holds.
+    """
+    model = F.coalesce(probability >= ALERT_AT, F.lit(False))
+    number = F.size(sources) + model.cast("int")
+    in_channel = F.exists(sources, lambda s: s.startswith(IN_CHANNEL[0]) | s.startswith(IN_CHANNEL[1]))
+    fused = (
+        F.when((number >= 2) & in_channel, F.lit(STATES[2]))
+        .when((number >= 1) | F.coalesce(probability >= CAUTION_AT, F.lit(False)), F.lit(STATES[1]))
+        .otherwise(F.lit(STATES[0]))
+    )
+    return F.when(has_valid_nodes, fused).otherwise(state(probability))

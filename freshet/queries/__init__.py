@@ -32,7 +32,7 @@ def query(name: str, covers: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     from freshet.queries import (  # noqa: F401
-        dataset, evaluation, events, ingest, live, models, reporting, scenarios, series, spatial,
+        dataset, evaluation, events, field, ingest, live, models, reporting, scenarios, series, spatial,
     )
 
     return REGISTRY

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.session import shared_folder
+
 MAX_LISTED_DAYS = 1_000
 
 
@@ -61,6 +63,13 @@ def write_table(
     writer.save(path)
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared folder and read back: what several parts of a plan use is computed once."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_non_empty(df: DataFrame, path: str, **kwargs) -> bool:
     """Write unless there is nothing to write; tells whether it wrote."""
     if df.isEmpty():
