@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freshet.session import ship
+
 CUR, OLD, WHOLE = 0, 1, 2
 CHUNK = 512
 
@@ -62,6 +64,8 @@ def sliding_quantile(
         whole = counts.withColumn("_day", later).groupBy(*keys, "_day", "_v").agg(F.sum("_n").alias("_n"))
         parts = parts.unionByName(whole.withColumns({"_at": F.lit(0), "_kind": F.lit(WHOLE)}))
 
+    ship(df.sparkSession)
+
     def of_day(key: tuple, day: pa.Table) -> pa.Table:
         columns = {c: day.column(c).to_numpy() for c in ("_at", "_v", "_n", "_kind")}
         order = np.argsort(columns["_at"], kind="stable")

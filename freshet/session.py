@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -43,3 +45,20 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="freshet-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per context (unless it came as a file itself)."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    context = spark.sparkContext
+    if getattr(context, "_freshet_shipped", False) or not os.path.isdir(root):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="freshet-"), "freshet_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.join("freshet", os.path.relpath(full, root)))
+    context.addPyFile(archive)
+    context._freshet_shipped = True
