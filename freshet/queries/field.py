@@ -10,8 +10,10 @@ from freshet.plans import field
 from freshet.queries import query
 from freshet.queries.base import r6, scored_rows
 from freshet.queries.sql import r, stamp, with_ctes
+from freshet.session import shared_folder
 from freshet.sources import gauges, nodes
-from freshet.sources.tables import staged
+from freshet.sources.tables import read, staged
+from freshet.streaming import field as live
 
 LEAD_SLOTS = 6 * field.SLOTS_PER_HOUR
 FLOOD_CM = 80.0
@@ -298,3 +300,55 @@ def runoff_by_observed_curve_number(spark, sf_dir):
     numbers = _observed(spark, sf_dir).select("basin", "cn")
     built = runoff_series(gauges.readings(spark, sf_dir), numbers)
     return r6(built.select("basin", "timestamp", "P_acc_24h", "Q_scs_proxy"))
+
+
+def _packet_stream(spark, sf_dir):
+    """The events table as a file stream of packets."""
+    raw = spark.readStream.schema(gauges.events(spark, sf_dir).schema).parquet(f"{sf_dir}/event[s].parquet")
+    return nodes.from_events(raw)
+
+
+def _drained(spark, out, schema: str):
+    """What a stream gives over everything available, from the table its micro-batches are written to."""
+    root = shared_folder(spark, "field")
+    with live.keyed_state(spark):
+        out.writeStream.option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).foreachBatch(
+            lambda df, i: df.write.mode("overwrite").parquet(f"{root}/out/batch={i}")).start().awaitTermination()
+    return read(spark, f"{root}/out", f"{schema}, batch int").drop("batch")
+
+
+@query("streamed_node_silences", "", with_ctes(
+    """SELECT basin, node, ts + INTERVAL 15 MINUTE AS silent_from FROM (
+         SELECT *, lead(ts) OVER (PARTITION BY basin, node ORDER BY ts) AS next, (SELECT max(ts) FROM packets) AS last FROM packets)
+       WHERE (next IS NULL OR next - ts > INTERVAL 15 MINUTE) AND epoch_us(ts) + 900000001 <= (epoch_ms(last) - 1800000) * 1000""",
+    packets=CTES["packets"]))
+def streamed_node_silences(spark, sf_dir):
+    """Session windows: a silence is told by the watermark, without a further reading of the node."""
+    return _drained(spark, live.silences(_packet_stream(spark, sf_dir)), "basin string, node string, silent_from timestamp_ntz")
+
+
+@query("streamed_node_jumps", "", _sql(
+    """SELECT basin, node, ts, jump FROM (SELECT *, lead(ts) OVER (PARTITION BY basin, node ORDER BY ts, reading_id) AS next FROM jumps)
+       WHERE next IS NOT NULL AND jump IS NOT NULL""", "jumps"))
+def streamed_node_jumps(spark, sf_dir):
+    """Keyed state: the last reading of a node waits for the next one."""
+    inside = field.out_of_range(_packet_stream(spark, sf_dir), nodes.node_meta(spark)).filter("NOT out_of_range")
+    schema = "basin string, node string, reading_id bigint, ts timestamp_ntz, level_cm int, jump string"
+    return _drained(spark, live.jumps(inside), schema).filter("jump IS NOT NULL").select("basin", "node", "ts", "jump")
+
+
+def _streamed_states_sql() -> str:
+    own = dict(CTES)
+    # The timer of a basin's last slot fires once the watermark, half an hour behind the last slot of all, has passed it.
+    own["with_pauses"] = own["with_pauses"].replace("slot + 6 <= last", "slot + 12 <= last")
+    return with_ctes(f"SELECT basin, {TIME.format('slot')} AS slot, estado, held FROM states", "basin_hours", "log", **own)
+
+
+@query("streamed_held_states", "", _streamed_states_sql())
+def streamed_held_states(spark, sf_dir):
+    """Hysteresis as a keyed state machine with event-time timers over the fused slots."""
+    path = shared_folder(spark, "fused_slots")
+    fused = _fusion(spark, sf_dir)[1]
+    fused.write.parquet(path)
+    out = live.with_hysteresis(spark.readStream.schema(fused.schema).parquet(path))
+    return _timed(_drained(spark, out, "basin string, slot bigint, estado string, held string"), "slot")

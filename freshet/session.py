@@ -9,6 +9,11 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+STATE_STORE = (
+    "spark.sql.streaming.stateStore.providerClass",
+    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+)
+
 
 def build_session(app: str = "freshet", master: str | None = None, **conf: str) -> SparkSession:
     """Session with UTC wall-clock times and adaptive execution; ``conf`` keys use ``__`` for dots."""
@@ -19,10 +24,7 @@ def build_session(app: str = "freshet", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         # Two days of readings are stream state: kept on local disk, logged incrementally.
-        .config(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
+        .config(*STATE_STORE)
         .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     )
     if master:

@@ -8,16 +8,17 @@ cut into micro-batches. Rows of a key are expected in time order from batch to b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from freshet.functions import rules
 from freshet.plans import field
-from freshet.session import ship
+from freshet.session import STATE_STORE, ship
 from freshet.streaming.hours import event_time
 
 LATENESS = "30 minutes"
@@ -25,6 +26,18 @@ LATENESS = "30 minutes"
 FUSION_LATENESS = "90 minutes"
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in the store that keyed state machines need (``build_session`` sets it for good)."""
+    key, store = STATE_STORE
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def silences(readings: DataFrame, gap_seconds: int = field.SILENT_SECONDS, lateness: str = LATENESS) -> DataFrame:
     """basin, node, silent_from of every silence, as soon as the watermark has passed it.
 
