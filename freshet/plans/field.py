@@ -118,11 +118,9 @@ def silences(readings: DataFrame, gap_seconds: int = SILENT_SECONDS) -> DataFram
     found = sessions(readings, gap_seconds)
     after = with_neighbours(found.select(*NODE, "start", "end"), NODE, ["start"], [])
     begun = F.col("end") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(gap_seconds))
-    now = readings.agg(F.max("ts").alias("_now"))
+    now = readings.agg(F.max("ts")).scalar()
     rows = after.select(*NODE, begun.alias("silent_from"), F.col("after.start").alias("silent_until"))
-    # One row with the last time of all; silences that end have a later packet anyway.
-    known = rows.filter("silent_until IS NOT NULL")
-    return known.unionByName(rows.filter("silent_until IS NULL").join(F.broadcast(now), F.col("silent_from") < F.col("_now")).drop("_now"))
+    return rows.filter(F.col("silent_until").isNotNull() | (F.col("silent_from") < now))
 
 
 def incoherent_rises(features: DataFrame, rain: DataFrame, meta: DataFrame, rise_cm: float = 20.0, lag_hours: int = 3) -> DataFrame:
@@ -280,12 +278,10 @@ def closing_rows(fused_rows: DataFrame) -> DataFrame:
     at = slot_time(F.col("slot")).alias("_at")
     rows = with_neighbours(fused_rows.select("basin", "slot", at), ["basin"], ["_at"], ["slot"])
     pause = rows.filter((F.col("after.slot") - F.col("slot") > SIGNAL_SLOTS) | F.col("after").isNull())
-    last = fused_rows.agg(F.max("slot").alias("_last"))
-    due = pause.select("basin", (F.col("slot") + SIGNAL_SLOTS).alias("slot"), F.col("after").isNull().alias("_open"))
-    known = due.filter("NOT _open").drop("_open")
-    at_end = due.filter("_open").drop("_open").join(F.broadcast(last), F.col("slot") <= F.col("_last")).drop("_last")
-    return known.unionByName(at_end).select(
-        "basin", "slot", F.array().cast("array<string>").alias("sources"), F.lit(None).cast("double").alias("p"),
+    last = fused_rows.agg(F.max("slot")).scalar()
+    due = pause.filter(F.col("after").isNotNull() | (F.col("slot") + SIGNAL_SLOTS <= last))
+    return due.select(
+        "basin", (F.col("slot") + SIGNAL_SLOTS).alias("slot"), F.array().cast("array<string>").alias("sources"), F.lit(None).cast("double").alias("p"),
         F.lit(None).cast("double").alias("h_rel"), F.lit(True).alias("degraded"), F.lit(None).cast("string").alias("estado"),
         F.lit(False).alias("forecast_only"))
 

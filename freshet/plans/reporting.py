@@ -68,7 +68,7 @@ def last_days(rows: DataFrame, last: DataFrame, hours: int, day: Column, keys: l
     """
     ends = last.select(*keys, F.col("hour_idx").alias("_last"))
     span = F.sequence(day_index(F.col("_last") - hours), day_index(F.col("_last")))
-    ends = ends.withColumn("_day", day_date(F.explode(span)))
+    ends = ends.withColumn("_day", F.explode(span)).withColumn("_day", day_date(F.col("_day")))
     if "day" in rows.columns:
         rows = on_days_of(rows, ends.select(F.col("_day").alias("day")))
     return rows.withColumn("_day", day).join(ends, [*keys, "_day"]).drop("_day")
