@@ -16,11 +16,20 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    """A table; one that is published by versions is read at its newest one."""
+    return spark.read.schema(schema).parquet(path) if (found := _published(spark, path, schema)) is None else found
 
 
 def read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    return read(spark, path, schema) if exists(spark, path) else None
+    found = _published(spark, path, schema)
+    return read(spark, path, schema) if found is None and exists(spark, path) else found
+
+
+def _published(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    from freshet.sources import published
+
+    root, _, name = path.rstrip("/").rpartition("/")
+    return published.read(spark, root, name, schema) if exists(spark, f"{root}/{published.VERSIONS}") else None
 
 
 def on_days_of(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -93,6 +102,16 @@ def publish_snapshot(log: DataFrame, table: str, path: str | None = None) -> Non
     writer.partitionBy("dia").saveAsTable(table)
 
 
+def refresh_snapshot(spark: SparkSession, log: DataFrame, table: str, path: str | None = None) -> None:
+    """Replace the days of ``log`` in the serving table; a table that does not exist yet is made of them."""
+    if not spark.catalog.tableExists(table):
+        publish_snapshot(log, table, path)
+        return
+    rows = log.withColumns({"actualizado_en": F.current_timestamp(), "dia": F.col("timestamp").cast("date")})
+    ordered = rows.select(*spark.table(table).columns).repartitionByRange("dia", "timestamp").sortWithinPartitions("dia", "timestamp")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+
+
 def seed_snapshot(spark: SparkSession, log: DataFrame, table: str, path: str | None = None) -> bool:
     """Publish only when the table does not exist yet."""
     if spark.catalog.tableExists(table):
