@@ -38,22 +38,19 @@ def dominated_months(availability: DataFrame, share: float = 0.5) -> DataFrame:
     return availability.filter((F.col("pct_n0") > share) | (F.col("pct_n1") > share))
 
 
-def unexplained_months(availability: DataFrame, outages: list[tuple[str, str, str | None]]) -> DataFrame:
-    """Months with low-availability hours that touch no known outage.
+def unexplained_months(availability: DataFrame, outages: DataFrame, keys: list[str]) -> DataFrame:
+    """Months with low-availability hours that touch no known outage of their series.
 
-    ``outages`` is the configured list (name, start, end); an open one lasts to the end
-    of the series, which no month of the series starts after.
+    ``outages`` is a table (keys, start, end); one without an end lasts to the end of the series. Each is spread over its months
+    within the series, which meet the series' months by an equi-join, so neither plan nor join grows with the list.
     """
-    month_end = F.add_months("month", 1).cast("timestamp_ntz") - F.expr("INTERVAL 1 MICROSECOND")
-    month_begin = F.col("month").cast("timestamp_ntz")
-    explained = F.lit(False)
-    for _, start, end in outages:
-        touches = month_end >= F.lit(start).cast("timestamp_ntz")
-        if end:
-            touches = touches & (month_begin <= F.lit(end).cast("timestamp_ntz"))
-        explained = explained | touches
-    low = F.col("n0") + F.col("n1")
-    return availability.filter((low > 0) & ~explained)
+    span = availability.groupBy(*keys).agg(F.min("month").alias("_first"), F.max("month").alias("_last"))
+    begin = F.greatest(F.trunc(F.col("start").cast("date"), "MM"), F.col("_first"))
+    end = F.least(F.coalesce(F.trunc(F.col("end").cast("date"), "MM"), F.col("_last")), F.col("_last"))
+    touched = outages.join(span, keys).withColumns({"_b": begin, "_e": end}).filter("_b <= _e")
+    months = touched.select(*keys, F.explode(F.sequence("_b", "_e", F.expr("INTERVAL 1 MONTH"))).alias("month"))
+    low = availability.filter(F.col("n0") + F.col("n1") > 0)
+    return low.join(months.distinct(), [*keys, "month"], "left_anti").select(*availability.columns)
 
 
 def season_months(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -65,7 +65,27 @@ def dominated_months(spark, sf_dir):
     ),
 )
 def months_outside_known_outages(spark, sf_dir):
-    found = diagnostics.unexplained_months(_months(spark, sf_dir), gauges.LONG_OUTAGES)
+    rows = [("L0", start, end) for _, start, end in gauges.LONG_OUTAGES]
+    outages = spark.createDataFrame(rows, "basin string, start string, end string")
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")}
+    found = diagnostics.unexplained_months(_months(spark, sf_dir), outages.withColumns(times), KEYS)
+    return found.select("basin", "month", "n0", "n1", "total_mes")
+
+
+@query(
+    "months_outside_reported_outages", "C7",
+    with_ctes(
+        """SELECT basin, month, n0, n1, total_mes FROM months m WHERE n0 + n1 > 0 AND NOT EXISTS (
+             SELECT 1 FROM orders o WHERE o_orderstatus = 'P' AND date_trunc('month', CAST(o_orderdate AS TIMESTAMP)) <= m.month
+               AND CAST(o_orderdate AS TIMESTAMP) + to_days(CAST(o_orderkey % 40 AS INTEGER)) >= m.month)""",
+        "long_proxy", months=MONTHS_SQL),
+)
+def months_outside_reported_outages(spark, sf_dir):
+    """An outage table of many rows: each order in progress stands for one of up to 40 days from its date on."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'P'")
+    start = F.col("o_orderdate").cast("timestamp_ntz")
+    outages = orders.select(F.lit("L0").alias("basin"), start.alias("start"), (start + F.make_dt_interval((F.col("o_orderkey") % 40).cast("int"))).alias("end"))
+    found = diagnostics.unexplained_months(_months(spark, sf_dir), outages, KEYS)
     return found.select("basin", "month", "n0", "n1", "total_mes")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from freshet import schema as S
 from freshet.operators import features as feats
 from freshet.operators.series import quality_split
+from freshet.plans import update
 from freshet.plans.update import live_update
 from freshet.queries import query
 from freshet.queries.base import r6, score, series
@@ -180,3 +181,49 @@ def arriving_prediction_log(spark, sf_dir):
         stream = spark.readStream.schema(rows.schema).parquet(f"{root}/landing")
         arrivals.start_updates(stream, root, score).awaitTermination()
     return r6(read(spark, f"{root}/log", S.LOG_TABLE).select("basin", *S.LOG_COLUMNS))
+
+
+@query(
+    "late_readings", "I4 I1",
+    with_ctes(
+        """SELECT basin, station_id, sensor_id, ts, tips * 1.5::DOUBLE AS mm FROM readings
+           WHERE ts >= TIMESTAMP '2024-01-15 03:00:00' AND ts < TIMESTAMP '2024-01-15 15:00:00'
+             AND epoch_us(ts) <= (SELECT epoch_ms(max(ts)) * 1000 FROM readings WHERE ts < TIMESTAMP '2024-01-20') - 48 * 3600000000""",
+        "readings"),
+)
+def late_readings(spark, sf_dir):
+    """Half of the 15th lands with the readings from the 20th on: too late for the closed hours, stored and counted."""
+    root = shared_folder(spark, "late")
+    rows = _readings(spark, sf_dir).filter(F.col("sensor_id") == gauges.PRINCIPAL_SENSOR).drop("arrival")
+    late = "ts >= timestamp_ntz'2024-01-15 03:00:00' AND ts < timestamp_ntz'2024-01-15 15:00:00'"
+    first = f"ts < timestamp_ntz'2024-01-20 00:00:00' AND NOT ({late})"
+    for part in (first, f"NOT ({first})"):
+        rows.filter(part).write.mode("append").parquet(f"{root}/landing")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/landing")
+        hours.start(stream, f"{root}/out", score).awaitTermination()
+    return hours.late_readings(spark, f"{root}/out").select("basin", "station_id", "sensor_id", "ts", "mm")
+
+
+def _whole_build(spark, sf_dir, batches, rebuild: bool = False):
+    """Updates with (filter, now) batches of the principal readings; the log of the published version."""
+    root = shared_folder(spark, "live")
+    rows = _readings(spark, sf_dir).filter(F.col("sensor_id") == gauges.PRINCIPAL_SENSOR)
+    for part, now in batches:
+        live_update(spark, rows.filter(part), root, score, now, horizons=(6,))
+    if rebuild:
+        update.rebuild(spark, root, score, horizons=(6,))
+    return r6(read(spark, f"{root}/log", S.LOG_TABLE).select("basin", *S.LOG_COLUMNS))
+
+
+@query("live_update_late_reading", "I6 I4", with_ctes(f"SELECT {LOG_SQL} FROM log", "log"))
+def live_update_late_reading(spark, sf_dir):
+    """Half a day of the 10th comes two weeks late: it is stored at once and takes effect by a rebuild."""
+    late = "ts >= timestamp_ntz'2024-01-10 03:00:00' AND ts < timestamp_ntz'2024-01-10 15:00:00'"
+    first = f"ts < timestamp_ntz'2024-01-25 00:00:00' AND NOT ({late})"
+    return _whole_build(spark, sf_dir, [(first, "2024-01-25 00:00:00"), (f"NOT ({first})", "2024-02-01 00:00:00")], rebuild=True)
+
+
+@query("live_update_early_reading", "I6", with_ctes(f"SELECT {LOG_SQL} FROM log", "log"))
+def live_update_early_reading(spark, sf_dir):
+    """Everything is offered on the 25th; what is stamped later is kept and taken by the update that finds it due."""
+    return _whole_build(spark, sf_dir, [("true", "2024-01-25 00:00:00"), ("false", "2024-02-01 00:00:00")])

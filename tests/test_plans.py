@@ -1,4 +1,5 @@
 import math
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -253,11 +254,38 @@ def test_catalogue_scan_filters_at_the_source(spark, tmp_path):
 
 
 def test_unexplained_months(spark):
-    months = spark.sql("""SELECT CAST(m AS DATE) month, 5L n0, 0L n1
-        FROM VALUES ('2019-01-01'), ('2019-02-01'), ('2019-07-01'), ('2019-08-01'), ('2020-04-01') t(m)""")
-    outages = [("M", "2019-02-18 16:00:00", "2019-07-26 11:00:00"), ("P", "2020-03-29 00:00:00", None)]
-    left = diagnostics.unexplained_months(months, outages)
-    assert sorted(str(r.month) for r in left.collect()) == ["2019-01-01", "2019-08-01"]
+    days = ("2019-01-01", "2019-02-01", "2019-07-01", "2019-08-01", "2020-04-01")
+    months = spark.createDataFrame([(b, date.fromisoformat(m), 5, 0) for b in "AB" for m in days], "basin string, month date, n0 bigint, n1 bigint")
+    columns = "basin string, start timestamp_ntz, end timestamp_ntz"
+    outages = [("A", datetime(2019, 2, 18, 16), datetime(2019, 7, 26, 11)), ("A", datetime(2020, 3, 29), None), ("C", datetime(2000, 1, 1), None),
+               ("B", datetime(2030, 1, 1), None), ("B", datetime(1990, 1, 1), datetime(1999, 1, 1))]
+    left = diagnostics.unexplained_months(months, spark.createDataFrame(outages, columns), ["basin"])
+    assert sorted(str(r.month) for r in left.filter("basin = 'A'").collect()) == ["2019-01-01", "2019-08-01"]
+    assert left.filter("basin = 'B'").count() == 5
+    # A thousand rows: the same plan, no nested loop.
+    many = outages * 200
+    plans = [diagnostics.unexplained_months(months, spark.createDataFrame(x, columns), ["basin"])._jdf.queryExecution() for x in (outages, many)]
+    sizes = {len(q.optimizedPlan().toString().splitlines()) for q in plans}
+    assert len(sizes) == 1 and "NestedLoop" not in plans[1].executedPlan().toString()
+
+
+def test_last_days_of_a_stored_table_open_only_their_partitions(spark, tmp_path):
+    """One basin: the key is a constant, and the join must still be one on the day."""
+    hours = spark.range(24 * 200).select(
+        F.lit("b").alias("basin"), (F.col("id") + 473_000).alias("hour_idx"), F.lit(1.0).alias("P_basin"),
+        F.when(F.col("id") % 50 == 0, "ALERTA").otherwise("NORMAL").alias("estado"))
+    hours = hours.withColumns({"timestamp": F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, cast(hour_idx as int))")})
+    hours.withColumn("day", F.col("timestamp").cast("date")).write.partitionBy("day").parquet(path := str(tmp_path / "s"))
+    stored = spark.read.parquet(path)
+    last = spark.createDataFrame([("b", 473_000 + 24 * 200 - 1)], "basin string, hour_idx bigint")
+    for report in (reporting.trailing_rain(stored, last=last), reporting.alert_days(stored, last=last)):
+        report.collect()
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "PartitionFilters: [day" in plan.replace("[isnotnull(day", "[day").replace("[cast(day", "[day")
+        assert sum(m for m in [len(report.inputFiles())]) <= 31 * 8
+    r = reporting.trailing_rain(stored, last=last).first()
+    assert (r.ult_24h, r.ult_7d, r.ult_30d) == (25.0, 169.0, 721.0)
+    assert reporting.trailing_rain(hours).first() == r
 
 
 def test_pairs_need_complete_days(spark):
