@@ -3,8 +3,8 @@
 The field reads the words of a line and tags each as begin, inside or outside of a secret. Its inputs are the
 shape of the word (length, character classes, variety, keywords), the shapes of the words before and after it, and features of
 the file (shares of lines with an assignment, of digits). Training is maximum likelihood in numpy (forward and
-backward sums over all lines of a batch at once) on a bounded sample: windows around pattern matches of at most
-``MAX_MARKED`` documents, and one window of at most ``MAX_PLAIN`` others, lowest hash first. Patterns are the labels
+backward sums over all lines of a batch at once) on a bounded sample: at most ``MAX_MARKED`` windows around pattern matches, the same
+with the name before the value left out, at most ``MAX_PLAIN`` others, half of them around odd-looking words without a match, each drawn from all texts by lowest hash. Patterns are the labels
 (distant supervision): the secret value is marked, not its name.
 
 Decoding is Viterbi over every line of every whole text. A word's scores depend only on its string, so they
@@ -27,12 +27,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import map_rows, stored, utf8
+from freshet.llm.common import map_rows, mix, stored, utf8
 
-MAX_MARKED, MAX_PLAIN = 1_500, 1_500
+MAX_MARKED, MAX_PLAIN = 3_000, 3_000
 AROUND, PLAIN_WORDS = 12, 30
 MIN_CHARS = 8
-STEPS, RATE, L2 = 100, 0.1, 1e-3
+STEPS, RATE, L2 = 150, 0.1, 1e-4
 REMEMBERED = 400_000
 MARKS = ".,;!?|#$%&*()[]{}<>"
 EDGES = "\"'`,;:()[]{}<>|#$%&*"
@@ -47,10 +47,8 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 HEX_MAP = bytes(49 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
-LETTER_KINDS = bytes(
-    97 if 97 <= i < 123 or i >= 128 else 65 if 65 <= i < 91 else 48 if 48 <= i < 58 else i for i in range(256))
+MIN_ODD, MIN_RANDOM = 8, 12
 CUES = ("pass", "secret", "token", "key", "auth", "akia", "credential", "bearer")
-RAW_CUES = [c.encode() for c in CUES]
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -79,25 +77,6 @@ def base_spans(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
     return sorted(spans), sorted(values)
 
 
-def simplified(raw: bytes) -> list[bytes]:
-    """The words of a text; ordinary short ones are reduced to letter kinds, so few distinct words remain.
-
-    Words with a digit, long words, and all words of a text that mentions a cue keep their characters.
-    """
-    return read_words(raw, mentions_cue(raw))
-
-
-def mentions_cue(raw: bytes) -> bool:
-    low = raw.lower()
-    return any(c in low for c in RAW_CUES)
-
-
-def read_words(raw: bytes, cued: bool) -> list[bytes]:
-    if cued:
-        return raw.split()
-    return [w if len(c) >= 16 or b"0" in c else c for c, w in zip(raw.translate(LETTER_KINDS).split(), raw.split())]
-
-
 def shape(word: str) -> tuple[int, ...]:
     """Active features of a word's shape, ``N_SHAPE`` in all."""
     n, kinds = len(word), len(set(word))
@@ -351,7 +330,7 @@ class Scanner:
         lines = [r.split(b"\n") for r in raws]
         sizes = np.fromiter((len(x.split()) for d in lines for x in d), np.int64, sum(map(len, lines)))
         owner = np.repeat(np.arange(len(texts)), [len(d) for d in lines])
-        ids = self.shape_ids(list(chain.from_iterable(map(simplified, raws))))
+        ids = self.shape_ids(list(chain.from_iterable(r.split() for r in raws)))
         starts = np.cumsum(sizes) - sizes
         files = np.array([file_features(r) for r in raws]).reshape(len(raws), N_FILE)
         chosen = np.flatnonzero(self.hopeful(ids, starts, sizes, files[owner]))
@@ -392,51 +371,90 @@ def tagged(line: bytes, states: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def windows_of(text: str, doc_hash: int) -> tuple[bool, list[tuple[list[bytes], list[int]]]]:
-    """Training windows of one text: around its matches, or one plain stretch chosen by the document's hash."""
+def looks_random(value: bytes) -> bool:
+    """Letters and digits mixed, and long: no word of a language."""
+    return len(value) >= MIN_RANDOM and any(48 <= c < 58 for c in value) and any(chr(c).isalpha() for c in value) and b"." not in value
+
+
+def looks_odd(word: bytes) -> bool:
+    """Words a careless scanner might take for secrets: with digits, or very long."""
+    return len(word) >= MIN_ODD and (any(48 <= c < 58 for c in word) or len(word) >= 2 * MIN_ODD)
+
+
+def around(line: bytes, inside: list[tuple[int, int]]) -> tuple[list[bytes], list[int]]:
+    """The words near the marked stretches of a line, and their states."""
+    states: list[int] = []
+    for p, q in places(line):
+        hit = next((a for a, z in inside if a < q and z > p), None)
+        states.append(0 if hit is None else 1 if hit >= p or not states or not states[-1] else 2)
+    on = np.flatnonzero(states)
+    lo, hi = max(0, on[0] - AROUND), on[-1] + AROUND + 1
+    return line.split()[lo:hi], states[lo:hi]
+
+
+def windows_of(text: str) -> list[tuple[str, list[bytes], list[int]]]:
+    """All training windows of one text: (kind, words, states).
+
+    ``marked``: around matches. ``bare``: the same without the name and sign before a value that looks random, so that values are learnt
+    by their own shape. ``odd``: around words that look a little like secrets but match no pattern. ``plain``: other lines.
+    """
     raw = utf8(text)
-    _, values = base_spans(text)
-    lines, cued = raw.split(b"\n"), mentions_cue(raw)
-    if not values:
-        full = [x for x in lines[doc_hash % len(lines) :] + lines if x.strip()][:1]
-        part = read_words(full[0], cued)[:PLAIN_WORDS] if full else []
-        return False, [(part, [0] * len(part))] if part else []
-    inside = [tuple(len(utf8(text[:x])) for x in v) for v in values]
+    spans, values = base_spans(text)
+    # Byte positions of the values, and where the match of each begins.
+    at = [(len(utf8(text[: v[0]])), len(utf8(text[: v[1]]))) for v in values]
+    begins = [max((len(utf8(text[:a])) for a, _, z in spans if a <= v[0] and v[1] <= z), default=p) for v, (p, _) in zip(values, at)]
     out, start = [], 0
-    for line in lines:
-        if any(a < start + len(line) and z > start for a, z in inside):
-            states: list[int] = []
-            for p, q in places(line):
-                hit = next((a for a, z in inside if a < start + q and z > start + p), None)
-                states.append(0 if hit is None else 1 if hit >= start + p or not states or not states[-1] else 2)
-            on = np.flatnonzero(states)
-            lo, hi = max(0, on[0] - AROUND), on[0] + AROUND + 1
-            out.append((read_words(line, cued)[lo:hi], states[lo:hi]))
-        start += len(line) + 1
-    return True, out
+    for line in raw.split(b"\n"):
+        end = start + len(line)
+        inside = [(max(p - start, 0), q - start, b - start) for (p, q), b in zip(at, begins) if p < end and q > start]
+        if inside:
+            out.append(("marked", *around(line, [(p, q) for p, q, _ in inside])))
+            # A value may match several patterns.
+            p, q, b = min(x[0] for x in inside), max(x[1] for x in inside), min(x[2] for x in inside)
+            one = all(x[0] < y[1] and y[0] < x[1] for x in inside for y in inside)
+            if one and 0 <= b < p and looks_random(line[p:q]):
+                out.append(("bare", *around(line[:b] + line[p:], [(b, b + q - p)])))
+        elif words := line.split():
+            odd = [i for i, w in enumerate(words) if looks_odd(w)]
+            if odd:
+                part = words[max(0, odd[0] - AROUND) : odd[0] + AROUND + 1]
+                out.append(("odd", part, [0] * len(part)))
+            else:
+                out.append(("plain", words[:PLAIN_WORDS], [0] * len(words[:PLAIN_WORDS])))
+        start = end + 1
+    return out
 
 
 def train(docs: DataFrame, marked: int = MAX_MARKED, plain: int = MAX_PLAIN) -> Field | None:
+    """The field from at most ``marked`` windows around matches (and as many bare ones) and ``plain`` others (half of them odd ones).
+
+    Windows of every kind are drawn from all windows of all texts, lowest hash first; a task sends no more than the bound of each kind.
+    """
+    bounds = {"marked": marked, "bare": marked, "odd": plain // 2, "plain": plain // 2}
+
     def run(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"marked": [], "hash": [], "words": [], "states": [], "file": []}
+        out: dict[str, list] = {"kind": [], "hash": [], "words": [], "states": [], "file": []}
         for h, text in zip(cols["hash"], cols["text"]):
-            some, found = windows_of(text or "", h % (1 << 31))
+            found = windows_of(text or "")
             file = file_features(utf8(text)) if found else []
-            for words, states in found[:1]:
-                out["marked"].append(some)
-                out["hash"].append(h)
-                out["words"].append([w.decode("utf-8", "replace") for w in words])
-                out["states"].append(states)
-                out["file"].append(file)
+            own = np.uint64(h & (2**64 - 1))
+            keys = mix(own + np.arange(len(found), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) if found else []
+            # Ordinary lines are most of a text: of these one in sixteen takes part, by its hash.
+            for key, (kind, words, states) in zip(keys, found):
+                if kind != "plain" or int(key) % 16 == 0:
+                    out["kind"].append(kind)
+                    out["hash"].append(int(key >> np.uint64(1)))
+                    out["words"].append([w.decode("utf-8", "replace") for w in words])
+                    out["states"].append(states)
+                    out["file"].append(file)
         return out
 
-    schema = "marked boolean, hash bigint, words array<string>, states array<int>, file array<double>"
-    rows = map_rows(docs.select(F.xxhash64("doc_id", "text").alias("hash"), "text"), run, schema)
-    # One window per document; the windows of at most ``marked`` + ``plain`` documents reach the driver.
-    first = [F.xxhash64("hash"), F.col("hash"), F.col("words")]
-    rows = stored(rows, "windows")
-    got = [r for m, n in (("marked", marked), ("NOT marked", plain)) for r in rows.filter(m).orderBy(*first).limit(n).collect()]
-    if not any(r["marked"] for r in got):
+    schema = "kind string, hash bigint, words array<string>, states array<int>, file array<double>"
+    rows = stored(map_rows(docs.select(F.xxhash64("doc_id", "text").alias("hash"), "text"), run, schema), "windows")
+    got = []
+    for kind, n in bounds.items():
+        got += rows.filter(F.col("kind") == kind).orderBy("hash", F.col("words")).limit(n).collect()
+    if not any(r["kind"] == "marked" for r in got):
         return None
     return fit([(r["words"], r["states"], r["file"]) for r in got])
 
