@@ -155,8 +155,35 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv
 LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id LEFT JOIN fixed f ON o.conv_id IS NOT DISTINCT FROM f.conv_id
 """
 
+URL_FILTERS = r"""
+WITH captures AS (SELECT row_number() OVER () AS n, page_id, DATE '2024-01-01' + CAST(page_id * 7 % 366 AS INTEGER) AS fetched,
+    nullif(regexp_replace(translate(regexp_replace(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@|:[0-9]*$', '', 'g'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^www\.|\.$', '', 'g'), '') AS host FROM pages),
+looked AS (SELECT n, fetched, depth, array_to_string(labels[depth + 1:], '.') AS key FROM (
+    SELECT n, fetched, labels, unnest(range(greatest(len(labels) - 1, 1))) AS depth FROM (
+      SELECT n, fetched, string_split(host, '.') AS labels FROM captures WHERE host IS NOT NULL))),
+keys AS (SELECT key, CAST('0x' || m[1:2] AS INTEGER) AS a, CAST('0x' || m[3:4] AS INTEGER) AS b, CAST('0x' || m[5:6] AS INTEGER) AS c,
+    CAST('0x' || m[7:7] AS INTEGER) AS d FROM (SELECT DISTINCT key, md5(key) AS m FROM looked)),
+dated AS (SELECT *, DATE '2024-01-01' + b % 180 AS added FROM keys),
+entries AS (
+    SELECT key, 'spam' AS list, 'block' AS kind, added AS day, 'add' AS action FROM dated WHERE a < 64
+    UNION ALL SELECT key, 'spam', 'block', added + (20 + c % 60), 'remove' FROM dated WHERE a < 64 AND d < 12
+    UNION ALL SELECT key, 'spam', 'block', added + (100 + c % 60), 'add' FROM dated WHERE a < 64 AND d < 6
+    UNION ALL SELECT key, 'malware', 'block', added + 10, 'add' FROM dated WHERE a < 64 AND d > 8
+    UNION ALL SELECT key, 'trusted', 'allow', added + 5, 'add' FROM dated WHERE c < 24),
+daily AS (SELECT list, kind, key, day, max(action) AS action FROM entries GROUP BY ALL),
+changes AS (SELECT * FROM (SELECT *, lag(action, 1, 'remove') OVER (PARTITION BY list, kind, key ORDER BY day) AS before FROM daily) WHERE action <> before),
+spans AS (SELECT list, kind, key, day AS valid_from, action, coalesce(lead(day) OVER (PARTITION BY list, kind, key ORDER BY day), DATE '9999-12-31') AS valid_to FROM changes),
+hits AS (SELECT n, count(*) AS n_active, min({'depth': depth, 'kind': kind, 'list': list, 'key': l.key, 'valid_from': valid_from}) AS m
+    FROM looked l JOIN spans s ON l.key = s.key AND s.action = 'add' AND l.fetched >= s.valid_from AND l.fetched < s.valid_to GROUP BY n)
+SELECT page_id, host, coalesce(n_active, 0) AS n_active, m.list AS list, m.key AS key, strftime(m.valid_from, '%Y-%m-%d') AS valid_from,
+    coalesce(m.kind = 'block', false) AS blocked
+FROM captures c LEFT JOIN hits h ON c.n = h.n
+"""
+
 ORACLES = {
     "op2_line_dedup": LINE_DEDUP,
+    "op4_url_filters": URL_FILTERS,
     "op5_decontamination": DECONTAMINATION,
     "op8_minhash": NEAR_DUPLICATES,
     "op11_chat_format": CHAT_FORMAT,
