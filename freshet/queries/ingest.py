@@ -48,6 +48,27 @@ def typed_readings(spark, sf_dir):
     return typed.select("basin", "station_id", "sensor_id", "ts", "mm")
 
 
+@query(
+    "readings_by_date_column", "A9",
+    with_ctes(
+        """SELECT name, count(*) FILTER (name <> 'ninguna' AND second(ts) <> 7 AND date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-05'
+             AND TIMESTAMP '2024-01-09 12:00:00') AS n FROM all_readings, (VALUES ('fechaobservacion'), ('fecha'), ('timestamp'), ('ninguna')) v(name)
+           GROUP BY name""", "all_readings"),
+)
+def readings_by_date_column(spark, sf_dir):
+    """One table published under four names of its date column, the last of which is none; beside each stands a column of lesser rank."""
+    text = _damaged_text(spark, sf_dir)
+    found = None
+    for name in ("fechaobservacion", "fecha", "timestamp", "ninguna"):
+        raw = text.withColumnRenamed("fechaobservacion", name)
+        if name == "fecha":
+            raw = raw.withColumn("timestamp", F.lit("1999-01-01 00:00:00"))
+        got = readings.in_range(raw, "2024-01-05 00:00:00", "2024-01-09 12:00:00").agg(F.count(F.lit(1)).alias("n"))
+        got = got.select(F.lit(name).alias("name"), "n")
+        found = got if found is None else found.unionByName(got)
+    return found
+
+
 @query(
     "sensor_sides", "B4",
     with_ctes(

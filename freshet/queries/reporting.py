@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from freshet.functions import rules
+from freshet.functions.timegrid import local_now
 from freshet.operators.series import every_kth
 from freshet.plans import reporting as rep
 from freshet.queries import query
@@ -138,6 +139,33 @@ def recent_log_rows(spark, sf_dir):
     return rep.recent_log(_log(spark, sf_dir))
 
 
+@query(
+    "recent_log_with_display_names", "B14 F3",
+    with_ctes(
+        f"""SELECT basin, timestamp AS "Fecha y hora", round(P_basin, 2) AS "Lluvia en la cuenca (mm/h)", round(Q_actual, 2) AS "Escorrentía actual",
+              round(Q_lag_1h, 2) AS "Escorrentía hace 1 h", round(roll_sum_24h, 2) AS "Lluvia acumulada 24 h", hora_dia AS "Hora del día",
+              mes AS "Mes", round(proba_modelo, 2) AS "Probabilidad del modelo (antes de la regla)", round(proba_alerta, 2) AS "Probabilidad de riesgo",
+              {LABEL.format(LEVEL)} AS "Estado de alerta", CAST(rank AS INTEGER) AS rank
+            FROM (SELECT *, row_number() OVER (PARTITION BY basin ORDER BY timestamp DESC) AS rank FROM log) WHERE rank <= 24""", "log"),
+)
+def recent_log_with_display_names(spark, sf_dir):
+    """The last day of the log as the report shows it."""
+    return rep.display_names(rep.recent_log(_log(spark, sf_dir), k=24))
+
+
+@query(
+    "hours_behind_the_local_clock", "H13",
+    with_ctes("SELECT basin, true AS behind, true AS same_clock FROM (SELECT DISTINCT basin FROM proxy)", "proxy"),
+)
+def hours_behind_the_local_clock(spark, sf_dir):
+    """Each series' last hour against the gauges' wall clock: readings are of the past, and the clock is five hours behind UTC."""
+    last = series(spark, sf_dir).groupBy("basin").agg(F.max("timestamp").alias("_last"))
+    now = local_now()
+    utc = F.convert_timezone(None, F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
+    same = F.abs(F.unix_timestamp(utc) - F.unix_timestamp(now) - 5 * 3600) <= 1
+    return last.select("basin", (F.col("_last") < now).alias("behind"), same.alias("same_clock"))
+
+
 @query(
     "current_state", "E13 H9",
     with_ctes(

@@ -9,6 +9,7 @@ from freshet.plans import spatial
 from freshet.queries import query
 from freshet.queries.base import r6
 from freshet.queries.sql import IA, r, with_ctes
+from freshet.session import shared_folder
 from freshet.sources import catalogue, gauges
 
 # Fixed value: the point distances are measured from.
@@ -50,6 +51,21 @@ def stations_by_distance(spark, sf_dir):
     return r6(catalogue.by_distance(rows, *POINT, ZONES))
 
 
+@query(
+    "catalogue_of_one_department", "A4 B7",
+    with_ctes(f"SELECT codigo, nombre, municipio, {r('d')} AS distancia_km FROM d JOIN stations s USING (codigo, nombre, municipio) WHERE s.s_suppkey % 5 <> 0",
+              stations=STATIONS_SQL, d=DIST),
+)
+def catalogue_of_one_department(spark, sf_dir):
+    """The catalogue as published (JSON, two departments), read with the filter at the source."""
+    path = shared_folder(spark, "catalogue")
+    other = F.col("codigo").cast("long") % 5 == 0
+    rows = _stations(spark, sf_dir).drop("zone").withColumn("departamento", F.when(other, "Caldas").otherwise("Antioquia"))
+    rows.write.partitionBy("estado").json(path)
+    found = catalogue.by_distance(catalogue.scan(spark, path, "Antioquia"), *POINT, ZONES)
+    return r6(found.select("codigo", "nombre", "municipio", "distancia_km"))
+
+
 @query(
     "nearest_stations", "F1 H2",
     with_ctes(f"SELECT codigo, nombre, {r('d')} AS distancia_km FROM d ORDER BY d, codigo LIMIT 15", stations=STATIONS_SQL, d=DIST),

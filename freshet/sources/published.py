@@ -50,7 +50,7 @@ def read(
     """The published table, or None before its first publication. ``since`` leaves the files of earlier days unopened."""
     mine = parts(spark, root, version).filter(F.col("table") == name)
     wanted = mine if since is None else mine.filter(F.col("day") >= F.lit(since))
-    listed = [(r["day"], r["v"]) for r in wanted.collect()]  # one row a day
+    listed = [(r["day"], r["v"]) for r in wanted.filter("v > 0").collect()]  # one row a day
     if not listed:
         return None if mine.isEmpty() else spark.createDataFrame([], schema)
     # A table without days (a state table) has one part, under no day.
@@ -70,11 +70,12 @@ def publish(spark: SparkSession, root: str, version: int, changed: dict[str, Dat
 
     ``whole``: the tables consist of these days only. This is the one step after which readers see anything.
     """
-    new = None
+    # A table without any row is listed too, under version 0.
+    new = spark.createDataFrame([(name, None, 0) for name in changed], LIST)
     for name, rows in changed.items():
         days = (rows if "day" in rows.columns else rows.withColumn("day", F.lit(None).cast("date"))).select("day").distinct()
         listed = days.select(F.lit(name).alias("table"), "day", F.lit(version).cast("long").alias("v"))
-        new = listed if new is None else new.unionByName(listed)
+        new = new.unionByName(listed)
     old = parts(spark, root)
     if whole:
         old = old.filter(~F.col("table").isin(list(changed)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,19 @@ def typed(raw: DataFrame) -> DataFrame:
     return raw.select(*[e.alias(n) for n, e in renamed.items()], *rest).dropna(subset=["ts"])
 
 
+def in_range(raw: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows of a published table with start <= time <= end, by the first date column it has, in order of preference.
+
+    A table without a usable date column gives no row (and a warning) instead of a wrong selection.
+    """
+    column = first_candidate(raw.columns, S.DATE_NAMES)
+    if column is None:
+        warnings.warn(f"no date column among {raw.columns}: nothing is read", stacklevel=2)
+        return raw.limit(0)
+    ts = F.trim(F.col(column).cast("string")).try_cast("timestamp_ntz")
+    return raw.filter(ts.between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+
+
 def absent_stations(readings: DataFrame, meta: DataFrame) -> DataFrame:
     """Configured stations without a single reading."""
     return meta.join(readings.select("station_id").distinct(), "station_id", "left_anti")
