@@ -41,13 +41,14 @@ def dominated_months(availability: DataFrame, share: float = 0.5) -> DataFrame:
 def unexplained_months(availability: DataFrame, outages: DataFrame, keys: list[str]) -> DataFrame:
     """Months with low-availability hours that touch no known outage of their series.
 
-    ``outages`` is a table (keys, start, end); one without an end lasts to the end of the series. Each is spread over its months
-    within the series, which meet the series' months by an equi-join, so neither plan nor join grows with the list.
+    ``outages`` is a table (keys, start, end); one without an end lasts to the end of the series. Each is spread over its months,
+    which meet the series' months by an equi-join, so neither plan nor join grows with the list.
     """
-    span = availability.groupBy(*keys).agg(F.min("month").alias("_first"), F.max("month").alias("_last"))
-    begin = F.greatest(F.trunc(F.col("start").cast("date"), "MM"), F.col("_first"))
-    end = F.least(F.coalesce(F.trunc(F.col("end").cast("date"), "MM"), F.col("_last")), F.col("_last"))
-    touched = outages.join(span, keys).withColumns({"_b": begin, "_e": end}).filter("_b <= _e")
+    # Months before or after a series match nothing: the bounds of all series will do.
+    first, last = (availability.agg(f("month")).scalar() for f in (F.min, F.max))
+    begin = F.greatest(F.trunc(F.col("start").cast("date"), "MM"), first)
+    end = F.least(F.coalesce(F.trunc(F.col("end").cast("date"), "MM"), last), last)
+    touched = outages.withColumns({"_b": begin, "_e": end}).filter("_b <= _e")
     months = touched.select(*keys, F.explode(F.sequence("_b", "_e", F.expr("INTERVAL 1 MONTH"))).alias("month"))
     low = availability.filter(F.col("n0") + F.col("n1") > 0)
     return low.join(months.distinct(), [*keys, "month"], "left_anti").select(*availability.columns)
