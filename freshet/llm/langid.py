@@ -15,8 +15,8 @@ Each order is a sorted gram array with one column of discounted shares per langu
 down to a uniform distribution over the alphabet. D is estimated per order as n1 / (n1 + 2 n2).
 
 The language with the lowest cross-entropy per character wins. The confidence is a logistic function of its lead over the
-second, times the square root of the length; slope, offset and the rejection limit are calibrated on a bounded,
-documented sample of training documents (``CALIBRATION_ROWS``), never on held-out ones.
+second, times the square root of the length; slope, offset and the rejection limit are calibrated on all training documents,
+never on held-out ones: leads meet in cells of a fixed relative width (``LEAD_CELLS``), and each cell counts its documents and the right ones.
 
 Defined results: null text and texts without a letter are "und" with score 0; without training rows everything is "und"; a null or
 empty lang is not learned; repeated rows are counted and scored each.
@@ -36,7 +36,7 @@ from freshet.llm.common import held_out, map_rows, stored
 
 ORDER = 4
 CELLS = 4_000_000
-CALIBRATION_ROWS = 4_000
+LEAD_CELLS = 1_000  # cells of the lead per factor e
 TRUSTED = 0.99  # share of right answers wanted above the rejection limit
 REMEMBERED = 300_000
 UNKNOWN = "und"
@@ -225,23 +225,15 @@ class Model:
         two = np.partition(entropy, 1, axis=1)[:, :2]
         return (two[:, 1] - two[:, 0]) * np.sqrt(length)
 
-    def predict(self, texts: list[str | None], known: dict[str, np.ndarray]) -> tuple[list[str], list[float], list[bool]]:
-        """Language, confidence and whether the answer is below the calibrated limit."""
-        if not self.langs:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        return self.decided(*self.entropies(texts, known))
 
-    def decided(self, entropy: np.ndarray, length: np.ndarray) -> tuple[list[str], list[float], list[bool]]:
-        best = entropy.argmin(axis=1)
-        score = 1 / (1 + np.exp(-np.clip(self.slope * self.lead(entropy, length) + self.offset, -50, 50)))
-        some = length > 0
-        langs = [self.langs[b] if s else UNKNOWN for b, s in zip(best, some)]
-        return langs, np.where(some, score, 0.0).tolist(), (~some | (score < self.limit)).tolist()
+def learned(rows: DataFrame) -> Column:
+    """Whether a row is learned from: it has a text and a language and lies outside the test fold."""
+    return rows["text"].isNotNull() & F.coalesce(F.length(rows["lang"]) > 0, F.lit(False)) & ~held_out()
 
 
-def train(docs: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """Models of every language named outside the test fold; counts cover all those documents."""
-    rows = docs.filter(F.col("text").isNotNull() & (F.length("lang") > 0) & ~held_out()).select("doc_id", "lang", "text")
+def counted_model(docs: DataFrame) -> Model:
+    """The gram tables of every language named outside the test fold, not calibrated; counts cover all those documents."""
+    rows = docs.filter(learned(docs)).select("lang", "text")
     beyond = letters_beyond(rows)
     counts = stored(counted(rows, beyond), "grams")
     tables = stored(orders(counts), "gram_tables")
@@ -256,12 +248,25 @@ def train(docs: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
         model.orders.append(order_of([(p["g"].to_numpy(), p["h"].to_numpy(), p["n"].to_numpy(float)) for p in parts]))
     if not whole:
         model.large = large_tables(tables.filter("k > 1"))
-    ids = stored(rows.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows), "calibration")
-    sample = rows.join(ids.select("doc_id").distinct(), "doc_id")
-    calibrate_in_tasks(model, sample)
     return model
 
 
+def train(docs: DataFrame) -> Model:
+    """Models of every language named outside the test fold, calibrated; both cover all those documents."""
+    model = counted_model(docs)
+    calibrate(model, measured(docs.filter(learned(docs)).select("doc_id", "text", "lang"), model))
+    return model
+
+
+def trained_and_identified(docs: DataFrame) -> DataFrame:
+    """``identified`` of the rows that the model is learned from and of all others, each text scored once."""
+    model = counted_model(docs)
+    known = docs.select("doc_id", "text", F.when(learned(docs), docs["lang"]).alias("lang"))
+    rows = stored(measured(known, model), "leads")
+    calibrate(model, rows.filter("lang IS NOT NULL"))
+    return answered(rows, model)
+
+
 def large_tables(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The tables of ``order_of`` in Spark: (k, g, share per language) and (k, h, rest per language)."""
     once, twice = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
@@ -336,54 +341,69 @@ def as_arrays(cols: dict[str, list], langs: list[str]) -> tuple[np.ndarray, np.n
     return np.array(cols["entropy"], float).reshape(-1, len(langs)), np.array(cols["length"], np.int64)
 
 
-def calibrate_in_tasks(model: Model, sample: DataFrame) -> None:
-    """Score the sample in Spark; only (right, lead) pairs come back."""
+def measured(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang (NULL where the rows have none), best language, its lead and the text's length of every row."""
+    words: dict[str, np.ndarray] = {}  # lives as long as a task
     local = replace(model, large=None)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        entropy, length = as_arrays(cols, local.langs) if "entropy" in cols else local.entropies(cols["text"], {})
-        names = [local.langs[b] for b in entropy.argmin(axis=1)] if local.langs else []
-        return {"ok": [int(n == lang) for n, lang in zip(names, cols["lang"])], "lead": local.lead(entropy, length), "size": length}
+        n = len(cols["doc_id"])
+        same = {"doc_id": cols["doc_id"], "lang": cols["lang"]}
+        if not local.langs:
+            return same | {"best": [None] * n, "lead": [0.0] * n, "length": [0] * n}
+        entropy, length = as_arrays(cols, local.langs) if "entropy" in cols else local.entropies(cols["text"], words)
+        return same | {"best": [local.langs[b] for b in entropy.argmin(axis=1)], "lead": local.lead(entropy, length), "length": length}
+
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", lang)
+    return map_rows(joined_entropies(rows, model) if model.large else rows, run,
+                    "doc_id bigint, lang string, best string, lead double, length bigint")
 
+
+def calibrate(model: Model, rows: DataFrame) -> None:
+    """Fit the confidence to all the rows (``measured``); what comes back is one row per cell of the lead."""
     if len(model.langs) < 2:
         model.offset = 5.0
         return
-    sample = sample.select("lang", "text")
-    got = map_rows(joined_entropies(sample, model) if model.large else sample, run, "ok int, lead double, size bigint").toPandas()
-    got = got[got["size"] > 0].sort_values(["lead", "ok"])
-    fit_confidence(model, got["lead"].to_numpy(), got["ok"].to_numpy(float))
+    # The lower edge stands for its cell; a lead of 0 is a cell of its own.
+    cell = F.when(F.col("lead") > 0, F.floor(F.log("lead") * LEAD_CELLS))
+    cells = rows.filter("length > 0").groupBy(cell.alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("best") == F.col("lang")).alias("ok")).toPandas()
+    cells["lead"] = np.where(cells["cell"].isna(), 0.0, np.exp(cells["cell"].fillna(0.0).to_numpy(float) / LEAD_CELLS))
+    cells = cells.sort_values("lead")
+    fit_confidence(model, cells["lead"].to_numpy(), cells["ok"].to_numpy(float), cells["n"].to_numpy(float))
 
 
-def fit_confidence(model: Model, lead: np.ndarray, right: np.ndarray, wanted: float = TRUSTED) -> None:
+def fit_confidence(model: Model, lead: np.ndarray, right: np.ndarray, n: np.ndarray, wanted: float = TRUSTED) -> None:
+    """Slope, offset and limit from ascending leads, each with its number of answers and of right ones."""
     if not len(lead):
         return
-    scale = max(float(np.median(lead)), 1e-6)
+    scale = max(float(lead[np.searchsorted(np.cumsum(n), n.sum() / 2)]), 1e-6)
     # A made-up wrong answer without lead and a right one with the median lead keep the slope finite.
-    z, y = np.append(lead / scale, [0.0, 1.0]), np.append(right, [0.0, 1.0])
+    z, y, weight = np.append(lead / scale, [0.0, 1.0]), np.append(right, [0.0, 1.0]), np.append(n, [1.0, 1.0])
     a, b = 1.0, 0.0
     for _ in range(500):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -50, 50)))
-        a, b = a - 0.5 * (((p - y) * z).mean() + 1e-3 * a), b - 0.5 * (p - y).mean()
+        off = weight / (1 + np.exp(-np.clip(a * z + b, -50, 50))) - y
+        a, b = a - 0.5 * ((off * z).sum() / weight.sum() + 1e-3 * a), b - 0.5 * off.sum() / weight.sum()
     model.slope, model.offset = a / scale, b
-    by = np.argsort(-lead, kind="stable")
-    share = np.cumsum(right[by]) / np.arange(1, len(by) + 1)
+    share = np.cumsum(right[::-1]) / np.cumsum(n[::-1])
     good = np.flatnonzero(share >= wanted)
-    model.limit = float(1 / (1 + np.exp(-(a * lead[by][good[-1]] / scale + b)))) if len(good) else 1.0
+    model.limit = confidence(model, float(lead[::-1][good[-1]])) if len(good) else 1.0
 
 
-def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, rejected of every row."""
+def confidence(model: Model, lead: float) -> float:
+    return float(1 / (1 + np.exp(-np.clip(model.slope * lead + model.offset, -50, 50))))
 
-    known: dict[str, np.ndarray] = {}  # lives as long as a task
-    local = replace(model, large=None)
 
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        if "entropy" in cols:
-            langs, scores, rejected = local.decided(*as_arrays(cols, local.langs))
-        else:
-            langs, scores, rejected = local.predict(cols["text"], known)
-        return {"doc_id": cols["doc_id"], "lang_pred": langs, "score": scores, "rejected": rejected}
+def answered(rows: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score, rejected of ``measured`` rows."""
+    some = (F.col("length") > 0) & F.col("best").isNotNull()
+    z = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.lit(model.slope) * F.col("lead") + F.lit(model.offset)))
+    score = F.when(some, 1 / (1 + F.exp(-z))).otherwise(0.0)
+    pred = F.when(some, F.col("best")).otherwise(UNKNOWN)
+    return rows.select("doc_id", pred.alias("lang_pred"), score.alias("score"), (~some | (score < model.limit)).alias("rejected"))
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    return map_rows(joined_entropies(rows, model) if model.large else rows, run,
-                    "doc_id bigint, lang_pred string, score double, rejected boolean")
+
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score, rejected of every row."""
+    return answered(measured(docs.select("doc_id", "text"), model), model)

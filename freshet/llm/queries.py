@@ -108,8 +108,7 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = langid.identified(docs, langid.train(docs))
+    found = langid.trained_and_identified(table(spark, sf_dir, "documents"))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 

@@ -95,6 +95,40 @@ def test_texts_without_letters_are_undetermined(spark):
     assert got[50] == got[51] == got[52] == ("und", 0.0) and got[0][0] == "en"
 
 
+def test_confidence_is_fitted_to_all_training_documents(spark):
+    # Every seventh of the shorter texts bears the wrong name, so the limit depends on which documents are counted.
+    n = F.expr("1 + CAST(id * 7919 % 40 AS INT)")
+    said = F.when(F.expr("id % 2 = 0"), F.expr("concat_ws(' ', transform(sequence(1, n), i -> element_at(array('the','and','this','with','house'), 1 + CAST(xxhash64(id, i) & 3 AS INT))))"))
+    other = F.expr("concat_ws(' ', transform(sequence(1, n), i -> element_at(array('der','und','dies','mit','haus'), 1 + CAST(xxhash64(id, i) & 3 AS INT))))")
+    wrong = F.expr("n < 12 AND id % 7 = 3")
+    d = spark.range(9000).withColumn("n", n).select(
+        F.col("id").alias("doc_id"), F.coalesce(said, other).alias("text"),
+        F.when(F.expr("id % 2 = 0") != wrong, "en").otherwise("de").alias("lang"))
+    found = langid.trained_and_identified(d)
+    apart = {r["doc_id"]: r for r in langid.identified(d, langid.train(d)).collect()}
+    outside = "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"
+    rows = found.join(d.select("doc_id", "lang"), "doc_id").filter(outside).collect()
+    assert len(rows) > 7000 and all(apart[r["doc_id"]]["rejected"] == r["rejected"] for r in rows)
+    right, accepted, best = 0, sum(not r["rejected"] for r in rows), 0
+    by_score = sorted(rows, key=lambda r: -r["score"])
+    for i, r in enumerate(by_score, 1):
+        right += r["lang"] == r["lang_pred"]
+        if right >= langid.TRUSTED * i and (i == len(rows) or by_score[i]["score"] < r["score"]):
+            best = i
+    cell = [r for r in rows if abs(r["score"] - by_score[best - 1]["score"]) < 1e-3]
+    assert 0 < best < len(rows) and abs(accepted - best) <= len(cell)
+
+
+def test_the_fit_counts_every_training_document(spark, monkeypatch):
+    d = spark.range(6000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'the house and', 'das haus und') AS text", "IF(id % 2 = 0, 'en', 'de') AS lang")
+    seen = []
+    fit = langid.fit_confidence
+    monkeypatch.setattr(langid, "fit_confidence", lambda model, lead, right, n=None: (
+        seen.append(len(lead) if n is None else int(n.sum())), fit(model, lead, right, *([] if n is None else [n]))))
+    langid.train(d)
+    assert seen == [d.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").count()] and seen[0] > 4700
+
+
 def kneser_ney(words, order=4):
     """Interpolated Kneser-Ney by its formula, with dictionaries: p(gram's last character | those before)."""
     grams = Counter()
