@@ -1,10 +1,10 @@
-"""Sliding quantiles over long frames by mergeable day counts.
+"""Sliding quantiles over long frames, in halo chunks of days.
 
-A frame of whole days (say seven) ending at a row is: what is left of the oldest day, the whole days between, and the current
-day so far. The whole days are counted per value once and added up; only the two partial days are walked row by row. A
-row costs one pass over the distinct values, however long the frame is, and results are exact. The built-in ``percentile``
-over a range frame collects the whole frame again for every row, which is why this one operator works in numpy inside the tasks;
-a group is one series' day with the day that leaves the frame.
+A series is cut into chunks of a few frames' length; the rows before a chunk that its frames reach are copied into it
+(``operators.frames``), so one group is bounded and any number of quantiles comes from one shuffle. Inside a chunk the
+count of every distinct value is carried from row to row: a row costs one pass over the distinct values, however long the frame is, and
+results are exact. The built-in ``percentile`` over a range frame collects the whole frame again for every row, which is why this one
+operator works in numpy inside the tasks.
 """
 
 from __future__ import annotations
@@ -14,67 +14,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freshet.operators.frames import CHUNK, with_halo
 from freshet.session import ship
 
-CUR, OLD, WHOLE = 0, 1, 2
-CHUNK = 512
+FRAMES = 3  # longest frames in a chunk
+CELLS = 1 << 18  # counts held at once while a chunk is walked
 
 
-def day_quantiles(cur_at, cur_value, old_at, old_value, whole_value, whole_n, q: float) -> np.ndarray:
-    """Interpolated quantile at each current row (sorted by place in the day).
-
-    The frame of a row holds the current rows up to it, the old rows at later places of their day, and the whole days' counts.
-    """
-    values, rank = np.unique(np.concatenate([cur_value, old_value, whole_value]), return_inverse=True)
-    cur, old, whole = np.split(rank, [len(cur_value), len(cur_value) + len(old_value)])
-    counts = np.bincount(old, minlength=len(values)) + np.bincount(whole, whole_n, len(values)).astype(np.int64)
-    leaves = np.searchsorted(cur_at, old_at, side="left")  # the first current row whose frame lacks the old row
-    out = np.empty(len(cur))
-    for a in range(0, len(cur), CHUNK):
-        b = min(a + CHUNK, len(cur))
+def frame_quantiles(at: np.ndarray, value: np.ndarray, own: int, length: int, q: float) -> np.ndarray:
+    """Interpolated quantile over the last ``length`` steps at each row from number ``own`` on; rows are sorted by step."""
+    values, rank = np.unique(value, return_inverse=True)
+    rows = len(at) - own
+    leaves = np.searchsorted(at[own:], at + length, side="left")  # the first own row whose frame lacks the row
+    first = np.searchsorted(leaves, 1)  # rows before are in no frame
+    counts = np.bincount(rank[first:own], minlength=len(values))
+    step = max(16, CELLS // len(values))
+    out = np.empty(rows)
+    for a in range(0, rows, step):
+        b = min(a + step, rows)
         change = np.zeros((b - a, len(values)), np.int64)
-        change[np.arange(b - a), cur[a:b]] = 1
-        gone = (leaves >= a) & (leaves < b)
-        np.subtract.at(change, (leaves[gone] - a, old[gone]), 1)
-        held = counts + np.cumsum(change, axis=0)
+        change[np.arange(b - a), rank[own + a : own + b]] = 1
+        lo, hi = np.searchsorted(leaves, [max(a, 1), b])
+        np.subtract.at(change, (leaves[lo:hi] - a, rank[lo:hi]), 1)
+        change[0] += counts
+        held = np.cumsum(change, axis=0)
         counts = held[-1]
         upto = np.cumsum(held, axis=1)
         place = (upto[:, -1] - 1) * q
         low = np.floor(place)
-        first = values[(upto > low[:, None]).argmax(axis=1)]
-        second = values[(upto > np.minimum(low + 1, upto[:, -1] - 1)[:, None]).argmax(axis=1)]
-        out[a:b] = first + (second - first) * (place - low)
+        under = values[(upto > low[:, None]).argmax(axis=1)]
+        over = values[(upto > np.minimum(low + 1, upto[:, -1] - 1)[:, None]).argmax(axis=1)]
+        out[a:b] = under + (over - under) * (place - low)
     return out
 
 
-def sliding_quantile(
-    df: DataFrame, keys: list[str], idx: str, per_day: int, value: str, days: int, q: float, name: str
+def with_sliding_quantiles(
+    df: DataFrame, keys: list[str], idx: str, per_day: int, wanted: dict[str, tuple[str, int, float]]
 ) -> DataFrame:
-    """keys, ``idx`` and ``name``: the quantile of ``value`` over the last ``days * per_day`` steps, the row's included.
+    """The rows with, for each name in ``wanted`` (value, days, q), the quantile of ``value`` over the last ``days * per_day`` steps, the
+    row's included.
 
-    ``idx`` is an integer step, unique in a series; ``value`` is a whole number and not null.
+    ``idx`` is an integer step, unique in a series; the values are whole numbers and not null.
     """
-    rows = df.select(*keys, F.floor(F.col(idx) / per_day).alias("_day"), F.pmod(F.col(idx), F.lit(per_day)).cast("int").alias("_at"),
-                     F.col(value).cast("long").alias("_v"), F.lit(1).cast("long").alias("_n"))
-    counts = rows.groupBy(*keys, "_day", "_v").agg(F.sum("_n").alias("_n"))
-    parts = rows.withColumn("_kind", F.lit(CUR)).unionByName(
-        rows.withColumns({"_day": F.col("_day") + days, "_kind": F.lit(OLD)}))
-    if days > 1:
-        later = F.explode(F.sequence(F.col("_day") + 1, F.col("_day") + days - 1))
-        whole = counts.withColumn("_day", later).groupBy(*keys, "_day", "_v").agg(F.sum("_n").alias("_n"))
-        parts = parts.unionByName(whole.withColumns({"_at": F.lit(0), "_kind": F.lit(WHOLE)}))
-
+    longest = max(days for _, days, _ in wanted.values()) * per_day
+    chunk_len = FRAMES * longest
     ship(df.sparkSession)
 
-    def of_day(key: tuple, day: pa.Table) -> pa.Table:
-        columns = {c: day.column(c).to_numpy() for c in ("_at", "_v", "_n", "_kind")}
-        order = np.argsort(columns["_at"], kind="stable")
-        kind = columns["_kind"][order]
-        at, v, n = ([columns[c][order][kind == k] for k in (CUR, OLD, WHOLE)] for c in ("_at", "_v", "_n"))
-        found = day_quantiles(at[CUR], v[CUR], at[OLD], v[OLD], v[WHOLE], n[WHOLE], q) if len(at[CUR]) else np.zeros(0)
-        place = key[-1].as_py() * per_day + at[CUR].astype(np.int64)
-        made = [pa.repeat(x, len(found)) for x in key[:-1]]
-        return pa.table([*made, pa.array(place), pa.array(found)], names=[*keys, idx, name])
+    def of_chunk(key: tuple, chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by(idx)
+        at = chunk.column(idx).to_numpy()
+        own = int(np.searchsorted(at, key[-1].as_py() * chunk_len))
+        made = {n: frame_quantiles(at, chunk.column(v).to_numpy(), own, days * per_day, q) for n, (v, days, q) in wanted.items()}
+        out = chunk.slice(own).drop_columns([CHUNK])
+        for name, found in made.items():
+            out = out.append_column(name, pa.array(found, pa.float64()))
+        return out
 
-    types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return parts.groupBy(*keys, "_day").applyInArrow(of_day, f"{types}, {idx} bigint, {name} double")
+    types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{n}` double" for n in wanted])
+    return with_halo(df, idx, chunk_len, longest, 0).groupBy(*keys, CHUNK).applyInArrow(of_chunk, types)
+
+
+def sliding_quantile(
+    df: DataFrame, keys: list[str], idx: str, per_day: int, value: str, days: int, q: float, name: str
+) -> DataFrame:
+    """keys, ``idx`` and ``name`` of one quantile (``with_sliding_quantiles``)."""
+    rows = df.select(*keys, F.col(idx).cast("long").alias(idx), F.col(value).cast("long").alias("_v"))
+    return with_sliding_quantiles(rows, keys, idx, per_day, {name: ("_v", days, q)}).drop("_v")

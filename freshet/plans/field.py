@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from freshet.functions import rules
 from freshet.functions.timegrid import date_index, day_index, epoch_micros, hour_index
 from freshet.operators.frames import add_windowed, exactly, trailing
-from freshet.operators.quantiles import sliding_quantile
+from freshet.operators.quantiles import with_sliding_quantiles
 from freshet.operators.runs import running_max, runs, seconds_between, with_neighbours
+from freshet.sources.tables import staged
 
 NODE = ["basin", "node"]
 ORDER = ["ts", "reading_id"]
@@ -75,8 +76,8 @@ def frozen_runs(readings: DataFrame, rain: DataFrame) -> DataFrame:
     ``rain`` (basin, hour_idx, P_basin) is summed over the hours that a run touches; runs meet it on the day. A run without rain is not
     held against the sensor.
     """
-    long = runs(readings, NODE, ORDER, ["level_cm"]).filter(
-        seconds_between(F.col("start"), F.col("end")) >= FROZEN_HOURS * 3600)
+    long = staged(runs(readings, NODE, ORDER, ["level_cm"]).filter(
+        seconds_between(F.col("start"), F.col("end")) >= FROZEN_HOURS * 3600), "long_runs")
     first, last = hour_index(F.col("start")), hour_index(F.col("end"))
     spread = long.select("basin", "node", "start", first.alias("_lo"), last.alias("_hi"),
                          F.explode(F.sequence(day_index(first), day_index(last))).alias("_day"))
@@ -89,18 +90,18 @@ def frozen_runs(readings: DataFrame, rain: DataFrame) -> DataFrame:
 
 def quality_checked(readings: DataFrame, meta: DataFrame, rain: DataFrame) -> DataFrame:
     """Readings with ``out_of_range``, ``jump``, ``frozen``, ``low_battery`` and ``valid`` (counts as a signal)."""
-    ranged = out_of_range(readings, meta)
+    # Read by three branches: parsed and judged once.
+    ranged = staged(out_of_range(readings, meta), "ranged")
     inside = jumps(ranged.filter("NOT out_of_range"))
     rows = inside.unionByName(ranged.filter("out_of_range").withColumn("jump", F.lit(None).cast("string")))
-    held = frozen_runs(readings, rain).filter("frozen")
+    held = frozen_runs(ranged, rain).filter("frozen")
     days = F.sequence(date_index(F.col("start")), date_index(F.col("end")))
-    held = held.select(*NODE, "start", "end", F.explode(days).alias("_day"))
-    # A reading lies in at most one run of its node.
-    inside_run = F.col("ts").between(F.col("start"), F.col("end"))
-    hit = rows.withColumn("_day", date_index(F.col("ts"))).join(held, [*NODE, "_day"]).filter(inside_run)
-    hit = hit.select("basin", "node", "reading_id", F.lit(True).alias("frozen"))
-    rows = rows.join(hit, ["basin", "node", "reading_id"], "left")
-    rows = rows.withColumns({"frozen": F.coalesce("frozen", F.lit(False)), "low_battery": F.col("battery_mv") < LOW_BATTERY_MV})
+    held = held.select(*NODE, F.explode(days).alias("_day"), F.struct("start", "end").alias("_run"))
+    # A run lasts six hours or more, so a day of a node touches five at most.
+    held = held.groupBy(*NODE, "_day").agg(F.collect_list("_run").alias("_held"))
+    rows = rows.withColumn("_day", date_index(F.col("ts"))).join(held, [*NODE, "_day"], "left").drop("_day")
+    inside_run = F.exists("_held", lambda run: F.col("ts").between(run["start"], run["end"]))
+    rows = rows.withColumns({"frozen": F.coalesce(inside_run, F.lit(False)), "low_battery": F.col("battery_mv") < LOW_BATTERY_MV}).drop("_held")
     doubtful = F.coalesce(F.col("jump").isin("spike", "pending"), F.lit(False))
     return rows.withColumn("valid", ~F.col("out_of_range") & ~F.col("frozen") & ~doubtful)
 
@@ -196,10 +197,8 @@ def packet_counts(readings: DataFrame) -> DataFrame:
 def level_features(slotted: DataFrame) -> DataFrame:
     """Slots with h_base (10th percentile of seven days), h_rel, dh_15min and dh_1h (cm an hour), h_max_1h, turb_rel (over the
     median of 24 hours)."""
-    keys = [*NODE, "slot"]
-    base = sliding_quantile(slotted, NODE, "slot", SLOTS_PER_DAY, "level_cm", BASE_DAYS, BASE_SHARE, "h_base")
-    middle = sliding_quantile(slotted, NODE, "slot", SLOTS_PER_DAY, "turbidity", 1, 0.5, "_turb_base")
-    rows = slotted.join(base, keys).join(middle, keys)
+    rows = with_sliding_quantiles(slotted, NODE, "slot", SLOTS_PER_DAY, {
+        "h_base": ("level_cm", BASE_DAYS, BASE_SHARE), "_turb_base": ("turbidity", 1, 0.5)})
     rows = rows.withColumns({"h_rel": F.col("level_cm") - F.col("h_base"), "turb_rel": F.try_divide(F.col("turbidity"), F.col("_turb_base"))})
 
     def columns(w):

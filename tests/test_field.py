@@ -10,7 +10,7 @@ from tests.conftest import SMALL
 
 from freshet.functions import rules
 from freshet.operators import runs as R
-from freshet.operators.quantiles import sliding_quantile
+from freshet.operators.quantiles import sliding_quantile, with_sliding_quantiles
 from freshet.plans import field
 from freshet.queries import field as queries
 from freshet.sources import nodes
@@ -113,6 +113,30 @@ def test_sliding_quantile_equals_the_sorted_frame(spark, days, q):
     assert sliding_quantile(df.filter("false"), ["basin"], "slot", 24, "v", days, q, "x").collect() == []
 
 
+def test_several_quantiles_come_from_one_shuffle_with_their_rows(spark):
+    rng = np.random.default_rng(3)
+    slots = np.flatnonzero(rng.random(24 * 40) < 0.6) - 200
+    rows = [("B0", int(s), int(a), int(b)) for s, a, b in zip(slots, rng.integers(0, 9, len(slots)), rng.integers(0, 400, len(slots)))]
+    df = spark.createDataFrame(rows, "basin string, slot bigint, a int, b int")
+    out = with_sliding_quantiles(df, ["basin"], "slot", 24, {"x": ("a", 7, 0.1), "y": ("b", 1, 0.5)})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = {(r["slot"], r["a"], r["b"]): (r["x"], r["y"]) for r in out.collect()}
+    assert len(got) == len(rows)
+    for _, s, a, b in rows:
+        week, day = ([(r[2], r[3]) for r in rows if s - n < r[1] <= s] for n in (168, 24))
+        assert got[s, a, b] == pytest.approx((np.quantile([r[0] for r in week], 0.1), np.quantile([r[1] for r in day], 0.5)), abs=1e-9)
+
+
+def test_readings_of_one_time_at_the_end_of_two_frozen_runs_come_once(spark):
+    # Two frozen runs meet in one time stamp: both hold its readings, each of which is one row.
+    rows = [("N0", 10 * i, 55) for i in range(61)] + [("N0", 600 + 10 * i, 60) for i in range(61)]
+    hour = int((START - datetime(1970, 1, 1)).total_seconds() // 3600)
+    rain = spark.createDataFrame([("B0", hour + h, 1.5) for h in range(24)], "basin string, hour_idx bigint, P_basin double")
+    got = field.quality_checked(node_rows(spark, rows), nodes.node_meta(spark), rain).collect()
+    assert len(got) == len(rows) and all(r["frozen"] for r in got)
+
+
 # ---- quality rules --------------------------------------------------------------------------------------------------
 
 def test_jump_needs_the_next_reading(spark):
