@@ -248,10 +248,18 @@ def fused(inputs: DataFrame, by: list | None = None) -> DataFrame:
     """One row per basin and slot: sources (distinct, sorted), p, h_rel (highest valid), degraded, estado, forecast_only.
 
     ``by`` are the grouping columns (a stream groups on a watermarked time). The set of a group holds source names of one basin.
+    A stream has one aggregation; a table has the numbers of all its rows in one that needs no objects and the sets of the few rows with a source
+    in another, joined on the same partitioning.
     """
-    rows = inputs.groupBy(*(by or ["basin", "slot"])).agg(
-        F.sort_array(F.collect_set("source")).alias("sources"), F.max("p").alias("p"), F.max("h_rel").alias("h_rel"),
-        (F.count("h_rel") == 0).alias("degraded"))
+    by = by or ["basin", "slot"]
+    names = F.sort_array(F.collect_set("source")).alias("sources")
+    numbers = [F.max("p").alias("p"), F.max("h_rel").alias("h_rel"), (F.count("h_rel") == 0).alias("degraded")]
+    if inputs.isStreaming:
+        rows = inputs.groupBy(*by).agg(names, *numbers)
+    else:
+        said = inputs.filter("source IS NOT NULL").groupBy(*by).agg(names)
+        rows = inputs.groupBy(*by).agg(*numbers).join(said, by, "left").select(
+            *by, F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "p", "h_rel", "degraded")
     out = rows.withColumn("estado", rules.fused_state(F.col("p"), F.col("sources"), ~F.col("degraded")))
     forecast = F.coalesce((F.col("p") >= rules.ALERT_AT) & (F.col("estado") == rules.STATES[1]), F.lit(False))
     return out.withColumn("forecast_only", forecast)

@@ -121,7 +121,8 @@ def _levels(spark, sf_dir):
 def _fusion(spark, sf_dir):
     levels = _levels(spark, sf_dir)
     log = scored_rows(spark, sf_dir)
-    return levels, staged(field.fused(field.fusion_inputs(field.signals(levels), levels, log)), "fused")
+    signals = staged(field.signals(levels), "signals")  # few rows, read by both aggregations
+    return levels, staged(field.fused(field.fusion_inputs(signals, levels, log)), "fused")
 
 
 def _timed(df, *slots: str):

@@ -217,6 +217,17 @@ def fused_rows(spark, n=900):
     return df.withColumn("forecast_only", F.lit(False))
 
 
+def test_numbers_of_a_slot_need_no_object_aggregate(spark):
+    rows = [("B0", 1, "nivel:N0", None, None), ("B0", 1, None, 70.0, None), ("B0", 1, "nivel:N0", None, 0.8), ("B0", 1, "lluvia_local", 3.0, 0.1),
+            ("B0", 2, None, None, 0.4), ("B1", 1, "turbidez:N1", None, None)]
+    got = field.fused(spark.createDataFrame(rows, "basin string, slot bigint, source string, h_rel double, p double"))
+    sizes = {(r["basin"], r["slot"]): (r["sources"], r["p"], r["h_rel"], r["degraded"], r["estado"]) for r in got.collect()}
+    assert sizes == {("B0", 1): (["lluvia_local", "nivel:N0"], 0.8, 70.0, False, "ALERTA"), ("B0", 2): ([], 0.4, None, True, "PRECAUCIÓN"),
+                     ("B1", 1): (["turbidez:N1"], None, None, True, None)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert all("max(p" not in line for line in plan.splitlines() if "ObjectHashAggregate" in line)
+
+
 def test_hysteresis_equals_a_row_by_row_walk(spark):
     df = fused_rows(spark)
     got = field.with_hysteresis(df).withColumn("leave", field.may_leave(F.col("sources"), F.col("p"), F.col("h_rel"), F.col("degraded")))
