@@ -201,7 +201,8 @@ def live_update(
     readings = read(spark, f"{root}/readings", S.READINGS_TABLE).filter(
         (F.col("day") >= day_date(day_index(F.lit(since)))) & (F.col("ts") >= hour_start(F.lit(since)))
     )
-    fresh = runoff_series(readings.select("basin", "station_id", "sensor_id", "ts", "mm"), cn)
+    # Stored readings are unique by key.
+    fresh = runoff_series(readings.select("basin", "station_id", "sensor_id", "ts", "mm"), cn, unique=True)
     write_table(_by_day(fresh), f"{stage}/slice")
     part = read(spark, f"{stage}/slice", S.SERIES_TABLE).drop("day")
 
@@ -238,7 +239,7 @@ def rebuild(
     """
     stage = shared_folder(spark, "rebuild")
     readings = read(spark, f"{root}/readings", S.READINGS_TABLE)
-    built = runoff_series(readings.select("basin", "station_id", "sensor_id", "ts", "mm"), cn, chunk_len=CHUNK_HOURS)
+    built = runoff_series(readings.select("basin", "station_id", "sensor_id", "ts", "mm"), cn, unique=True, chunk_len=CHUNK_HOURS)
     write_table(_by_day(built), f"{stage}/series")
     series = read(spark, f"{stage}/series", S.SERIES_TABLE).drop("day")
     write_table(series.groupBy("basin").agg(F.max("hour_idx").alias("hour_idx")), f"{stage}/ends")

@@ -277,3 +277,13 @@ def test_forest_does_not_depend_on_the_layout(spark):
     stored = spark.read.parquet(path)
     means = {round(training.score(training.fit_classifier(stored.repartition(n), numTrees=5), stored).agg(F.avg("proba_modelo")).first()[0], 12) for n in (3, 16)}
     assert len(means) == 1
+
+
+def test_stored_readings_are_not_made_distinct_again(spark, rows, monkeypatch):
+    root, asked = shared_folder(spark, "live"), []
+    built = update.runoff_series
+    monkeypatch.setattr(update, "runoff_series", lambda readings, *a, **k: (asked.append((readings, k.get("unique"))), built(readings, *a, **k))[1])
+    twice = rows.filter("ts < timestamp_ntz'2024-01-05 00:00:00'")
+    update.live_update(spark, as_batch(twice.unionByName(twice)), root, base.score, "2024-01-05 00:00:00", horizons=(6,))
+    (readings, unique), = asked
+    assert unique and readings.count() == readings.select(*ingest.KEY).distinct().count() > 0
