@@ -7,13 +7,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from freshet.functions import rules
+from freshet.operators import features as feats
 from freshet.plans import evaluation as ev
 from freshet.plans import training
 from freshet.queries import query
-from freshet.queries.base import KEYS, dataset, r6, series
+from freshet.queries.base import KEYS, r6, series
 from freshet.queries.sql import FEATURES, r, with_ctes
 from freshet.session import shared_folder
-from freshet.sources.tables import write_table
+from freshet.sources.tables import staged, write_table
 
 # Properties hold for forests of any size, so small ones are enough where only these are returned.
 SMALL = {"numTrees": 20, "maxDepth": 6}
@@ -23,10 +24,12 @@ SLACK = 1e-6
 def _stored_dataset(spark, sf_dir):
     """Dataset with label, weights and baseline, written once: training reads it many times."""
     path = shared_folder(spark, "training")
-    rows = ev.with_persistence(dataset(spark, sf_dir), series(spark, sf_dir), KEYS)
-    rows = ev.with_sample_weights(ev.with_label(rows, "target_6h", KEYS), "target_6h", [])
+    hours = staged(series(spark, sf_dir), "series")  # read by the features and by the baseline
+    rows = ev.with_persistence(feats.dataset(hours, 6), hours, KEYS)
     p75 = ev.train_quantile("target_6h", 0.75).over(Window.partitionBy(*KEYS))
-    write_table(rows.withColumn("p75_train", p75), path)
+    rows = staged(ev.with_label(rows, "target_6h", KEYS).withColumn("p75_train", p75), "labelled")
+    # The weights need the largest target first: a second look at the rows, not a second computation.
+    write_table(ev.with_sample_weights(rows, "target_6h", []), path)
     return spark.read.parquet(path)
 
 
