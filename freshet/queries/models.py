@@ -37,10 +37,11 @@ def _stored_dataset(spark, sf_dir):
 def forest_regressors_report(spark, sf_dir):
     rows = _stored_dataset(spark, sf_dir)
     train, test = ev.split_sides(rows)
-    test = training.predict(training.fit_regressor(train, "target_6h"), test, "absolute")
-    weighted = training.fit_regressor(train, "target_6h", "sample_weight")
-    test = training.predict(weighted, test, "weighted")
-    test = training.predict_delta(training.fit_regressor(train, "delta"), test, "rebuilt")
+    absolute, weighted, change = training.fit_side_by_side(spark, [
+        lambda: training.fit_regressor(train, "target_6h"), lambda: training.fit_regressor(train, "target_6h", "sample_weight"),
+        lambda: training.fit_regressor(train, "delta")])
+    test = training.predict(weighted, training.predict(absolute, test, "absolute"), "weighted")
+    test = staged(training.predict_delta(change, test, "rebuilt"), "predicted")  # three reports, one prediction
     reports = [
         ev.regression_report(test, "target_6h", "persistence", m, KEYS).withColumn("model", F.lit(m))
         for m in ("absolute", "weighted", "rebuilt")

@@ -20,3 +20,12 @@ def test_series_of_training_rows_is_computed_once_and_like_rows_follow_each_othe
     for _, part in itertools.groupby(sorted(dealt.collect(), key=lambda r: r["_n"]), key=lambda r: r["_part"]):
         values = [[r[c] for c in [*S.FEATURES, "basin", "hour_idx"]] for r in part]
         assert len(values) > 1 and values == sorted(values)
+
+
+def test_forests_side_by_side_are_the_ones_fitted_alone(spark):
+    rows = models._stored_dataset(spark, MEDIUM)
+    fits = [lambda t=t, w=w: training.fit_regressor(rows, t, w, numTrees=3, maxDepth=4)
+            for t, w in (("target_6h", None), ("target_6h", "sample_weight"), ("delta", None))]
+    means = lambda ms: [round(training.predict(m, rows, "p").agg(F.avg("p")).first()[0], 9) for m in ms]
+    together = training.fit_side_by_side(spark, fits)
+    assert len(set(means(together))) == 3 and means(together) == means([f() for f in fits])
