@@ -51,26 +51,27 @@ def runs(
             return differs
         return differs | F.coalesce(seconds_between(F.lag(end).over(w), start) > gap_seconds, F.lit(False))
 
+    # Columns one by one: a struct in an aggregate would have all rows sorted once more.
     value = F.struct(*same) if same else F.lit(0)
-    rows = df.select(*keys, *order, value.alias("_value")).withColumn(DAY, ts.cast("date"))
+    firsts = [F.first(c).alias(c) for c in same]
+    rows = df.select(*keys, *order, *same).withColumn(DAY, ts.cast("date"))
     w = Window.partitionBy(*keys, DAY).orderBy(*order)
     first = F.row_number().over(w) == 1
-    rows = rows.withColumn("_new", (first | broken(w, F.col("_value"), ts, ts)).cast("int"))
+    rows = rows.withColumn("_new", (first | broken(w, value, ts, ts)).cast("int"))
     rows = rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     pieces = rows.groupBy(*keys, DAY, "_run").agg(
-        F.first("_value").alias("_value"), F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("n"))
+        *firsts, F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("n"))
     pieces = pieces.withColumn("_most", F.max("_run").over(Window.partitionBy(*keys, DAY)))
     at_edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_most"))
-    columns = [*keys, "_value", "start", "end", "n"]
+    columns = [*keys, *same, "start", "end", "n"]
     along = Window.partitionBy(*keys).orderBy(DAY, "_run")
     fresh = F.lag(DAY).over(along).isNull() | (F.lag(DAY).over(along) == F.col(DAY))
     edges = pieces.filter(at_edge).withColumn(
-        "_new", (fresh | broken(along, F.col("_value"), F.col("start"), F.col("end"))).cast("int"))
+        "_new", (fresh | broken(along, value, F.col("start"), F.col("end"))).cast("int"))
     edges = edges.withColumn("_run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     merged = edges.groupBy(*keys, "_run").agg(
-        F.first("_value").alias("_value"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
-    out = pieces.filter(~at_edge).select(*columns).unionByName(merged.select(*columns))
-    return out.select(*keys, *[F.col("_value")[c].alias(c) for c in same], "start", "end", "n")
+        *firsts, F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+    return pieces.filter(~at_edge).select(*columns).unionByName(merged.select(*columns))
 
 
 def running_max(df: DataFrame, keys: list[str], idx: str, per_day: int, values: dict[str, Column]) -> DataFrame:

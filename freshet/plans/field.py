@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions import rules
-from freshet.functions.timegrid import date_index, day_index, epoch_micros, hour_index
+from freshet.functions.timegrid import date_index, day_index, hour_index
 from freshet.operators.frames import add_windowed, exactly, trailing
 from freshet.operators.quantiles import with_sliding_quantiles
 from freshet.operators.runs import running_max, runs, seconds_between, with_neighbours
@@ -36,7 +36,8 @@ SIGNAL_SLOTS, VALID_SLOTS = 6, 3
 
 
 def slot_of(ts: Column) -> Column:
-    return F.floor(epoch_micros(ts) / (SLOT_SECONDS * 1_000_000))
+    # Slots begin at whole seconds, so parts of a second do not matter.
+    return F.floor(F.unix_timestamp(ts) / SLOT_SECONDS)
 
 
 def slot_time(slot: Column) -> Column:
@@ -53,8 +54,10 @@ def out_of_range(readings: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def too_fast(level_a: Column, ts_a: Column, level_b: Column, ts_b: Column) -> Column:
+    step = F.abs(level_b - level_a)
     minutes = F.greatest(seconds_between(ts_a, ts_b) / 60, F.lit(LEAST_MINUTES))
-    return F.abs(level_b - level_a) > MAX_RATE_CM_MIN * minutes
+    # Most steps are small enough for the shortest time; only the others need the time between.
+    return F.when(step <= MAX_RATE_CM_MIN * LEAST_MINUTES, F.lit(False)).otherwise(step > MAX_RATE_CM_MIN * minutes)
 
 
 def jumps(readings: DataFrame) -> DataFrame:
@@ -76,8 +79,8 @@ def frozen_runs(readings: DataFrame, rain: DataFrame) -> DataFrame:
     ``rain`` (basin, hour_idx, P_basin) is summed over the hours that a run touches; runs meet it on the day. A run without rain is not
     held against the sensor.
     """
-    long = staged(runs(readings, NODE, ORDER, ["level_cm"]).filter(
-        seconds_between(F.col("start"), F.col("end")) >= FROZEN_HOURS * 3600), "long_runs")
+    lasted = F.col("end") - F.col("start") >= F.make_dt_interval(F.lit(0), F.lit(FROZEN_HOURS))
+    long = staged(runs(readings, NODE, ORDER, ["level_cm"]).filter(lasted), "long_runs")
     first, last = hour_index(F.col("start")), hour_index(F.col("end"))
     spread = long.select("basin", "node", "start", first.alias("_lo"), last.alias("_hi"),
                          F.explode(F.sequence(day_index(first), day_index(last))).alias("_day"))
