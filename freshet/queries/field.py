@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from freshet.functions import rules
-from freshet.operators.series import basin_hours, station_hours
+from freshet.operators.series import basin_hours, complete_grid, station_hours, timestamped, with_runoff
 from freshet.plans import field
 from freshet.queries import query
 from freshet.queries.base import r6, scored_rows
@@ -105,17 +105,18 @@ def _rain(spark, sf_dir):
     return basin_hours(station_hours(gauges.readings(spark, sf_dir)))
 
 
-def _checked(spark, sf_dir):
-    return field.quality_checked(nodes.readings(spark, sf_dir), nodes.node_meta(spark), staged(_rain(spark, sf_dir), "rain"))
+def _checked(spark, sf_dir, rain=None):
+    rain = staged(_rain(spark, sf_dir), "rain") if rain is None else rain
+    return field.quality_checked(nodes.readings(spark, sf_dir), nodes.node_meta(spark), rain)
 
 
-# The tables that a running system keeps: five-minute slots, derived levels, fused states.
-def _slots(spark, sf_dir):
-    return staged(field.slots(_checked(spark, sf_dir).filter("valid")), "slots")
+# The tables that a running system keeps: five-minute slots, derived levels, fused states. ``rain`` is given where a query needs it too.
+def _slots(spark, sf_dir, rain=None):
+    return staged(field.slots(_checked(spark, sf_dir, rain).filter("valid")), "slots")
 
 
-def _levels(spark, sf_dir):
-    return staged(field.level_features(_slots(spark, sf_dir)), "levels")
+def _levels(spark, sf_dir, rain=None):
+    return staged(field.level_features(_slots(spark, sf_dir, rain)), "levels")
 
 
 def _fusion(spark, sf_dir):
@@ -207,7 +208,8 @@ def critical_signals(spark, sf_dir):
     "levels", risen="""SELECT basin, node, slot // 12 AS hour_idx, max(h_rel) - min(h_rel) AS rise_cm FROM levels GROUP BY ALL HAVING max(h_rel) - min(h_rel) >= 20"""))
 def incoherent_rises(spark, sf_dir):
     """Nodes that rise while nothing upstream does and no rain falls (the channel is N0, N1, N2)."""
-    found = field.incoherent_rises(_levels(spark, sf_dir), staged(_rain(spark, sf_dir), "rain"), nodes.node_meta(spark))
+    rain = staged(_rain(spark, sf_dir), "rain")
+    found = field.incoherent_rises(_levels(spark, sf_dir, rain), rain, nodes.node_meta(spark))
     at = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.col("hour_idx").cast("int"))
     return r6(found.withColumn("hour", at).drop("hour_idx"))
 
@@ -278,16 +280,16 @@ def _observed_sql(body: str) -> str:
     return with_ctes(body, "basin_hours", "proxy", **own, onsets=ONSET_SQL, observed=OBSERVED_SQL)
 
 
-def _observed(spark, sf_dir):
-    from freshet.queries.base import series
-
-    return staged(field.observed_curve_numbers(field.onsets(_levels(spark, sf_dir)), series(spark, sf_dir)), "observed")
+def _observed(spark, sf_dir, rain):
+    """Numbers from the onsets and the same rain that the readings are checked against."""
+    fallen = with_runoff(complete_grid(rain))
+    return staged(field.observed_curve_numbers(field.onsets(_levels(spark, sf_dir, rain)), fallen), "observed")
 
 
 @query("observed_curve_numbers", "", _observed_sql(f"SELECT basin, onsets, {r('ia_mm')} AS ia_mm, {r('cn')} AS cn FROM observed"))
 def observed_curve_numbers(spark, sf_dir):
     """Curve number per basin from the rain that had fallen when the level began to respond."""
-    return r6(_observed(spark, sf_dir))
+    return r6(_observed(spark, sf_dir, staged(_rain(spark, sf_dir), "rain")))
 
 
 @query("runoff_by_observed_curve_number", "", _observed_sql(
@@ -296,10 +298,9 @@ def observed_curve_numbers(spark, sf_dir):
       FROM (SELECT p.*, 25400.0::DOUBLE / coalesce(cn, 81.1::DOUBLE) - 254.0::DOUBLE AS s FROM proxy p LEFT JOIN observed USING (basin))"""))
 def runoff_by_observed_curve_number(spark, sf_dir):
     """The runoff series rebuilt with the observed numbers (basins without an onset keep the default)."""
-    from freshet.operators.series import runoff_series
-
-    numbers = _observed(spark, sf_dir).select("basin", "cn")
-    built = runoff_series(gauges.readings(spark, sf_dir), numbers)
+    rain = staged(_rain(spark, sf_dir), "rain")  # readings to hours once, for the checks, the onsets and the series
+    numbers = _observed(spark, sf_dir, rain).select("basin", "cn")
+    built = timestamped(with_runoff(complete_grid(rain), numbers))
     return r6(built.select("basin", "timestamp", "P_acc_24h", "Q_scs_proxy"))
 
 
