@@ -39,6 +39,19 @@ PRE_TOKEN = re.compile(
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+class Numbers(dict):
+    """Numbers of pre-tokens by first sight; ``new`` lists those not yet encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, pre_token: str) -> int:
+        number = self[pre_token] = len(self)
+        self.new.append(pre_token)
+        return number
+
+
 class WordEncoder:
     """Ids of whole texts from a ``tokenizers`` file whose pre-tokens carry a word end.
 
@@ -52,29 +65,30 @@ class WordEncoder:
         vocab = self.model.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.rows: dict[str, int] = {}
+        self.rows = Numbers()
         self.flat = np.zeros(0, np.uint32)
         self.starts = self.sizes = np.zeros(0, np.int64)
 
     def whole(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
-    def learn(self, new: list[str]) -> None:
-        """Add pre-tokens. Runs of letters are encoded together: each ends in an end token."""
-        letters, other = [p for p in new if p.isalpha()], [p for p in new if not p.isalpha()]
-        ids: list[list[int]] = []
+    def learn(self) -> list[str]:
+        """Encode the pre-tokens numbered since. Runs of letters are encoded together: each ends in an end token."""
+        new, self.rows.new = self.rows.new, []
+        letters = [p for p in new if p.isalpha()]
+        of: dict[str, list[int]] = {p: self.whole(p) for p in new if not p.isalpha()}
         for start in range(0, len(letters), 2000):
             part = letters[start : start + 2000]
             found = self.whole(" ".join(part))
             cuts = (np.flatnonzero(self.ends[found]) + 1).tolist()
             assert len(cuts) == len(part)
-            ids.extend(found[a:b] for a, b in zip([0, *cuts], cuts))
-        ids.extend(self.whole(p) for p in other)
+            of.update(zip(part, (found[a:b] for a, b in zip([0, *cuts], cuts))))
+        ids = [of[p] for p in new]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.rows.update(zip(letters + other, range(len(self.rows), len(self.rows) + len(new))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        return new
 
     def forget(self, new: list[str], kept: int) -> None:
         for p in new:
@@ -85,9 +99,10 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [pre_tokens(t) for t in texts]
         every = list(chain.from_iterable(s for s in split if s))
-        kept, new = len(self.rows), list(set(every) - self.rows.keys())
-        self.learn(new)
+        kept = len(self.rows)
+        # One look at every pre-token: an unknown one gets its number there and is encoded afterwards.
         rows = np.fromiter(map(self.rows.__getitem__, every), np.int64, len(every))
+        new = self.learn()
         sizes = self.sizes[rows]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(sizes.sum())]
