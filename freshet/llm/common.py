@@ -19,17 +19,27 @@ from freshet.session import shared_folder
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Python objects made from one slice of a batch stay within about this much text.
 SLICE_CHARS = 8_000_000
+FILE_ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends here and sizes are known."""
-    path = shared_folder(df.sparkSession, label)
+def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back: lineage ends here and sizes are known.
+
+    ``rows``: there are no more than so many, all of them short. Where shuffles have many more partitions than
+    these rows need files, they are dealt evenly to few files instead of one file for each partition.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, label)
+    if rows is not None:
+        files = max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+        if 4 * files <= int(spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.repartition(files)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def lower_ascii(c: Column) -> Column:

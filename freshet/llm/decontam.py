@@ -99,8 +99,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """All columns of ``docs`` plus n_words, n_hit, items (sorted ids with occurring windows), contaminated."""
     keyed = carried(docs)
     found, owners = (stored(t, label) for t, label in zip(windows(benchmark, window), ("windows", "window_items")))
-    grams = stored(window_shingles(found, size), "window_shingles")
-    wanted = stored(grams.select("sh").distinct(), "shingles")
+    n_windows = found.count()
+    grams = stored(window_shingles(found, size), "window_shingles", n_windows * window)
+    wanted = stored(grams.select("sh").distinct(), "shingles", n_windows * window)
     sizes = sorted(r[0] for r in grams.select("k").distinct().collect())  # at most ``size`` numbers
     texts = keyed.select("_r1", "_r2", F.col("row.text").alias("text"))
     if sizes:
@@ -111,7 +112,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     ranked = grams.join(rarity, "sh", "left").groupBy("wid", "len").agg(
         F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "sh", "offset")).alias("least"))
     anchors = ranked.filter("least.df > 0").select("wid", "len", "least.sh", "least.offset")
-    anchors = stored(anchors.join(found, "wid"), "anchors")
+    anchors = stored(anchors.join(found, "wid"), "anchors", n_windows)
     starts = hits.join(anchors, "sh").withColumn("start", F.col("pos") - F.col("offset"))
     starts = starts.filter("start >= 0 AND start + len <= n_words")
     per_doc = starts.groupBy("_r1", "_r2").agg(F.collect_set(F.struct("start", "len", "wid", "words")).alias("cands"))

@@ -35,10 +35,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """Links (a, b) to (node, component): the smallest node reachable, for every node with a link."""
+    rows = links.count()  # no round makes more links than it got
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     state = None
     while True:
-        edges = stored(_small_star(_large_star(edges).filter("u > v").distinct()), "links")
+        edges = stored(_small_star(_large_star(edges).filter("u > v").distinct()), "links", rows)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -229,26 +229,27 @@ def _columns(rows: pa.StructArray) -> dict[str, np.ndarray]:
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept, n_links of its class."""
     sketched = stored(sketches(docs, size), "sketches")
+    rows = sketched.count()
     named = sketched.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     packed = [F.first(c).alias(c) for c in ("n_shingles", "bands", *SIG)]
     classes = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), *packed)
-    classes = stored(classes, "classes")
+    classes = stored(classes, "classes", rows)
     sketch = classes.drop("bands")
 
     heads = bucket_members(classes).groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("members"))
-    heads = stored(heads.filter("members > 1"), "buckets")
+    heads = stored(heads.filter("members > 1"), "buckets", BANDS * rows)
     # Members of shared buckets, few of all: found once, by a merge join at every size.
-    crowded = stored(bucket_members(classes).hint("merge").join(heads, "key"), "bucket_members")
+    crowded = stored(bucket_members(classes).hint("merge").join(heads, "key"), "bucket_members", BANDS * rows)
     pairs = crowded.filter("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct()
     near = with_sketch(with_sketch(pairs, sketch, "a"), sketch, "b").filter(may_link(similarity)).select("a", "b")
-    near = stored(near, "near_pairs")
+    near = stored(near, "near_pairs", BANDS * rows)
     # The texts of all documents that share a bucket with another move once; joins of texts are merges at every
     # size, so what is shuffled grows as the input does.
     shared = crowded.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").hint("merge").join(shared, "doc_id", "left_semi")
     texts = stored(texts, "texts")
-    links = stored(confirmed(near, texts, similarity, size), "confirmed")
-    groups = stored(components(links), "components")
+    links = stored(confirmed(near, texts, similarity, size), "confirmed", BANDS * rows)
+    groups = stored(components(links), "components", rows)
 
     # A bucket of two was settled by its one pair; others may hold links between members.
     large = crowded.filter("members > 2")
@@ -257,12 +258,12 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, size: int = S
         F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"),
     )
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = stored(mixed.filter("lo < hi").select("key"), "mixed_buckets")
+    mixed = stored(mixed.filter("lo < hi").select("key"), "mixed_buckets", BANDS * rows)
     members = with_cells(labelled.join(mixed, "key"), texts, size).join(sketch, "doc_id")
     rest = stored(block_pairs(members, similarity).join(near, ["a", "b"], "left_anti"), "rest_pairs")
     if not rest.isEmpty():
         links = links.unionByName(stored(confirmed(rest, texts, similarity, size), "confirmed_rest"))
-        groups = stored(components(links), "components")
+        groups = stored(components(links), "components", rows)
 
     ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id")))
     counts = ends.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_links"))
@@ -271,7 +272,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, size: int = S
         .join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(counts, "doc_id", "left")
         .select("d1", "d2", F.coalesce("component", "doc_id").alias("component"), "n_links")
     )
-    label = stored(label, "class_labels")
+    label = stored(label, "class_labels", rows)
     # Rows of one id may have several texts, hence classes; the id takes the smallest label.
     joined = sketched.join(label, ["d1", "d2"], "left")
     return joined.select(
