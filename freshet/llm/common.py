@@ -85,18 +85,25 @@ def ship(spark: SparkSession) -> None:
     context._freshet_shipped = True
 
 
-def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """Apply ``fn`` (columns as lists in, columns as lists out) to slices of limited text size."""
+def map_rows(
+    df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, slice_chars: int = SLICE_CHARS
+) -> DataFrame:
+    """Apply ``fn`` (columns as lists in, columns as lists out) to slices of limited text size.
+
+    A worker that has ended its task waits for the next one beside the JVM: it gives the room of its batches back first.
+    """
     out_schema = spark_arrow(schema)
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, slice_chars):
                 out = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type) for f in out_schema], schema=out_schema
                 )
+        batch = part = out = None
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -108,9 +115,9 @@ def spark_arrow(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Row ranges of a batch whose bytes stay near ``SLICE_CHARS`` (one long row is its own range)."""
-    step = max(1, int(batch.num_rows * SLICE_CHARS / max(batch.nbytes, 1)))
+def slices(batch: pa.RecordBatch, slice_chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Row ranges of a batch whose bytes stay near ``slice_chars`` (one long row is its own range)."""
+    step = max(1, int(batch.num_rows * slice_chars / max(batch.nbytes, 1)))
     for start in range(0, batch.num_rows, step):
         yield batch.slice(start, step)
 

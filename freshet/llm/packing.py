@@ -30,7 +30,9 @@ from freshet.llm.common import map_rows, ship, stored
 CAPACITY, END_ID = 4096, 1
 GROUP, FAN_IN, CARRY = 40_000, 8, 4_000
 SLACK = 16  # a bin with no more room than this is finished
-CACHE = 600_000
+CACHE = 300_000  # some 50 MB, which a worker keeps between tasks
+# Split into pre-tokens, a text takes some thirty times its room: a worker encodes about this much at a time.
+ENCODE_CHARS = 1_000_000
 # Fixed value: the tokenizer file's own pattern, its character classes spelled out for lower-case Latin-1.
 PRE_TOKEN = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
@@ -55,7 +57,8 @@ class Numbers(dict):
 class WordEncoder:
     """Ids of whole texts from a ``tokenizers`` file whose pre-tokens carry a word end.
 
-    Known pre-tokens are rows of a table: where their ids start in ``flat``, and how many there are.
+    Known pre-tokens are rows of a table: where their ids start in ``flat``, and how many there are. The arrays have
+    room to grow, so that new rows are written beside the old ones and no copy of all is made for each slice.
     """
 
     def __init__(self, path: str):
@@ -66,8 +69,9 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.rows = Numbers()
-        self.flat = np.zeros(0, np.uint32)
-        self.starts = self.sizes = np.zeros(0, np.int64)
+        self.flat = np.zeros(1024, np.uint32)
+        self.starts, self.sizes = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.known = self.used = 0
 
     def whole(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
@@ -84,17 +88,19 @@ class WordEncoder:
             assert len(cuts) == len(part)
             of.update(zip(part, (found[a:b] for a, b in zip([0, *cuts], cuts))))
         ids = [of[p] for p in new]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        known, used = self.known + len(ids), self.used + int(sizes.sum())
+        self.starts, self.sizes, self.flat = room(self.starts, known), room(self.sizes, known), room(self.flat, used)
+        self.starts[self.known : known] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.known : known] = sizes
+        self.flat[self.used : used] = np.fromiter(chain.from_iterable(ids), np.uint32, used - self.used)
+        self.known, self.used = known, used
         return new
 
     def forget(self, new: list[str], kept: int) -> None:
         for p in new:
             del self.rows[p]
-        self.starts, self.sizes = self.starts[:kept], self.sizes[:kept]
-        self.flat = self.flat[: int(self.sizes.sum())]
+        self.known, self.used = kept, int(self.sizes[:kept].sum())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [pre_tokens(t) for t in texts]
@@ -103,7 +109,7 @@ class WordEncoder:
         # One look at every pre-token: an unknown one gets its number there and is encoded afterwards.
         rows = np.fromiter(map(self.rows.__getitem__, every), np.int64, len(every))
         new = self.learn()
-        sizes = self.sizes[rows]
+        sizes = self.sizes[rows].astype(np.int64)
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(sizes.sum())]
         bounds = np.concatenate([[0], ends])[np.cumsum([0, *(len(s or ()) for s in split)])]
@@ -115,6 +121,11 @@ class WordEncoder:
         ]
 
 
+def room(a: np.ndarray, n: int) -> np.ndarray:
+    """``a``, or a copy of twice the length where ``n`` entries do not fit."""
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
 def pre_tokens(text: str) -> list[str] | None:
     """The pre-tokens of a Latin-1 text; None for other texts and those that may hold a special token."""
     try:
@@ -147,7 +158,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         return out
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-    made = map_rows(docs.select(F.col("doc_id").cast("bigint"), "text"), cut, schema)
+    made = map_rows(docs.select(F.col("doc_id").cast("bigint"), "text"), cut, schema, ENCODE_CHARS)
     return made.withColumn("uid", F.monotonically_increasing_id())
 
 
