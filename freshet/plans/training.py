@@ -25,12 +25,17 @@ MAX_DEPTH = 10
 # Partitions of the training rows: part of what a seed means, so a parameter of the call and not of the cluster. A level of the
 # trees is one task a partition: for the ten thousands of rows of the bench 16 take 13 s, 64 took 29 s. Raise it with the table.
 PARTITIONS = 16
-# Forests that grow at the same time. Each keeps its binned rows in memory, about 2.6 KB a row at 200 trees.
-AT_ONCE = 2
+# Forests that grow at the same time, up to so many training rows. Each keeps its binned rows in memory, about 1 KB a row at 200
+# trees; beyond, two would push each other's rows to disk and leave the executors' heaps full.
+AT_ONCE, AT_ONCE_ROWS = 2, 500_000
 FOREST = {"numTrees": TREES, "seed": SEED, "maxDepth": MAX_DEPTH}
 # Node ids are kept with the rows instead of walking every tree for every row and level,
 # and more memory for node statistics means fewer passes over the data.
 SCALING = {"cacheNodeIds": True, "maxMemoryInMB": 1024}
+# A regressor looks at all features, so its nodes have several times a classifier's statistics. Every running task holds up to 4/3 of
+# this memory for them, outside of what Spark keeps account of; a smaller share is more passes and the same trees. Node ids are 0.8 KB
+# a row, copied at every pass and kept up to three times: walking the trees takes as long and keeps nothing.
+REGRESSOR_SCALING = {"cacheNodeIds": False, "maxMemoryInMB": 128}
 
 
 def _assembler() -> VectorAssembler:
@@ -53,7 +58,7 @@ def fit_regressor(
 ) -> PipelineModel:
     forest = RandomForestRegressor(
         featuresCol="features", labelCol=target, predictionCol="prediction",
-        featureSubsetStrategy="all", **(FOREST | SCALING | params),
+        featureSubsetStrategy="all", **(FOREST | REGRESSOR_SCALING | params),
     )
     if weight:
         forest = forest.setWeightCol(weight)
@@ -69,6 +74,11 @@ def fit_classifier(
     return Pipeline(stages=[_assembler(), forest]).fit(_spread(train, partitions))
 
 
+def at_once(train: DataFrame) -> int:
+    """How many forests on these rows may grow at the same time."""
+    return AT_ONCE if train.count() <= AT_ONCE_ROWS else 1
+
+
 def fit_side_by_side(spark: SparkSession, fits: list[Callable[[], PipelineModel]], at_once: int = AT_ONCE) -> list[PipelineModel]:
     """The models of independent fits, in order, ``at_once`` of them at a time: one's tasks run while another is at its driver step."""
     with ThreadPool(at_once) as pool:

@@ -39,7 +39,7 @@ def forest_regressors_report(spark, sf_dir):
     train, test = ev.split_sides(rows)
     absolute, weighted, change = training.fit_side_by_side(spark, [
         lambda: training.fit_regressor(train, "target_6h"), lambda: training.fit_regressor(train, "target_6h", "sample_weight"),
-        lambda: training.fit_regressor(train, "delta")])
+        lambda: training.fit_regressor(train, "delta")], training.at_once(train))
     test = training.predict(weighted, training.predict(absolute, test, "absolute"), "weighted")
     test = staged(training.predict_delta(change, test, "rebuilt"), "predicted")  # three reports, one prediction
     reports = [
